@@ -4,8 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import residue
-from veinstone.sources.tables import load
+from veinstone.functions.ids import canonical_id
+from veinstone.llm import docpairs, residue
+from veinstone.sources.tables import current_rows, load
+
+
+def _current_code(spark: SparkSession, d: str) -> DataFrame:
+    columns = ("function_id", "file_path", "language", "body", "updated_at")
+    artifacts = load(spark, d, "artifacts").select(*columns).withColumn("function_id", canonical_id("function_id"))
+    return current_rows(artifacts, "function_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documented members of the current functions."""
+    return docpairs.doc_pairs(_current_code(spark, d)).select("function_id", "member_name").distinct()
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs themselves: signature and description of each documented member."""
+    return docpairs.doc_pairs(_current_code(spark, d)).select("function_id", "member_name", "signature", "description")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -13,5 +30,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(load(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p9_found,)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p9_found)}
 SQL: dict[str, str] = {}
