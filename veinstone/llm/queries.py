@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veinstone.functions.ids import canonical_id
-from veinstone.llm import docpairs, residue
+from veinstone.llm import docpairs, provenance, residue
 from veinstone.sources.tables import current_rows, load
 
 
+#: Owners that the code base's own copyright notices name.
+OWNERS = ("Halden Works",)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that were not written by hand for the code base."""
+    return provenance.file_signs(load(spark, d, "artifacts"), own=OWNERS).select("file_path").distinct()
+
+
+def p2_signs(spark: SparkSession, d: str) -> DataFrame:
+    """The signs of each such file."""
+    return provenance.file_signs(load(spark, d, "artifacts"), own=OWNERS)
+
+
 def _current_code(spark: SparkSession, d: str) -> DataFrame:
     columns = ("function_id", "file_path", "language", "body", "updated_at")
     artifacts = load(spark, d, "artifacts").select(*columns).withColumn("function_id", canonical_id("function_id"))
@@ -30,5 +44,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(load(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_signs, p3_found, p3_pairs, p9_found)}
 SQL: dict[str, str] = {}
