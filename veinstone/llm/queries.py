@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veinstone.functions.ids import canonical_id
-from veinstone.llm import docpairs, provenance, residue
+from veinstone.llm import docpairs, mixing, packing, provenance, residue, tokens
 from veinstone.sources.tables import current_rows, load
 
 
@@ -39,10 +39,45 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.doc_pairs(_current_code(spark, d)).select("function_id", "member_name", "signature", "description")
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.with_tokens(load(spark, d, "documents").filter("doc_id is not null"), "text", ["doc_id"]).withColumnsRenamed({"doc_id": "item_id", "n_tokens": "size"})
+    return packing.pack_items(sizes, load(spark, d, "pack_sizes").withColumnRenamed("capacity_tokens", "capacity"))
+
+
+def p7_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one, in its container of each size."""
+    return _packed(spark, d).select("pack_name", "bin_id", F.col("item_id").alias("doc_id"), "piece", F.col("size").alias("n_tokens"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and fill of each size."""
+    packs = load(spark, d, "pack_sizes")
+    bins = _packed(spark, d).groupBy("pack_name", "bin_id").agg(F.sum("size").alias("fill"))
+    totals = bins.groupBy("pack_name").agg(F.count("*").alias("n_bins"), F.sum("fill").alias("n_tokens"), F.max("fill").alias("max_fill"))
+    return totals.join(F.broadcast(packs), "pack_name").withColumn("fill_share", F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")))
+
+
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    documents = load(spark, d, "documents").filter("doc_id is not null and text is not null")
+    keyed = documents.select("doc_id", "source", F.md5("text").alias("text_key"), "text")
+    sized = tokens.with_tokens(keyed, "text", ["doc_id", "source", "text_key"]).withColumnRenamed("doc_id", "item_id")
+    return mixing.mix(sized, load(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the mixture with how often each is used."""
+    return _mixture(spark, d).uses.withColumnRenamed("item_id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mixture(spark, d).shares
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold template residue, filler or an error page."""
     return residue.residue(load(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_signs, p3_found, p3_pairs, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_signs, p3_found, p3_pairs, p7_packs, p7_fill, p8_mix, p8_shares, p9_found)}
 SQL: dict[str, str] = {}
