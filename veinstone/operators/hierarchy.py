@@ -203,7 +203,8 @@ def hierarchy(links: DataFrame, core_nodes: int = CORE_NODES) -> DataFrame:
     root is the top of the tree, or, where parents never end, the smallest node on the cycle with depth -1;
     in_cycle marks the nodes on a cycle itself. tree, enter and leave are the interval of the node's subtree.
     """
-    one = links.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("parent").alias("parent"))
+    links = links.filter(F.col("node").isNotNull())
+    one = links.groupBy("node").agg(F.min("parent").alias("parent"))
     names = one.select("node").unionByName(links.select(F.col("parent").alias("node"))).filter(F.col("node").isNotNull())
     ids = hashed_ids(names, "node")
     seed = (ids.select("seed").head() or (0,))[0]

@@ -44,8 +44,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Spark's upper estimate of the size of df, without running it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's upper estimate of the size of df, without running it; at most 2 ** 62."""
+    try:
+        return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 2**62)
+    except ValueError:  # a product of joins with thousands of digits
+        return 2**62
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
