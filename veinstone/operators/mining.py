@@ -74,12 +74,12 @@ def pattern_scores(added: Column, removed: Column | None = None) -> dict[str, Co
 def best_pattern(scores: dict[str, Column]) -> Column:
     """struct(pattern, confidence): the first type with the greatest score; unknown with 0 if none scores."""
     pairs = F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("pattern")) for i, (k, s) in enumerate(scores.items())])
-    best = F.array_max(pairs)
-    none = best["score"] <= 0
-    return F.struct(
-        F.when(none, "unknown").otherwise(best["pattern"]).alias("pattern"),
-        F.when(none, 0.0).otherwise(F.least(F.lit(1.0), best["score"] / 3)).alias("confidence"),
-    )
+    # as a lambda, so that the greatest score is computed once
+    named = F.transform(F.array(F.array_max(pairs)), lambda best: F.struct(
+        F.when(best["score"] <= 0, "unknown").otherwise(best["pattern"]).alias("pattern"),
+        F.when(best["score"] <= 0, 0.0).otherwise(F.least(F.lit(1.0), best["score"] / 3)).alias("confidence"),
+    ))
+    return F.get(named, F.lit(0))
 
 
 def invariants_about(invariants: DataFrame, pattern_column: str, logic: str, name: str) -> DataFrame:
