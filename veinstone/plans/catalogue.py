@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from veinstone.functions.code_text import code_hash
 from veinstone.functions.ids import canonical_id, id_name, id_path, valid_id
 from veinstone.functions.schema import ARTIFACT_STATUSES
-from veinstone.operators import catalog, graph, intervals, merge, mining, stats, verify
+from veinstone.operators import catalog, contracts, graph, intervals, merge, mining, stats, verify
 from veinstone.sources.tables import current_rows, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,12 @@ def contract_enrichment(spark, d):
     return rows.select("function_id", catalog.list_size("contract_json", "invariants").alias("n_invariants"), catalog.shortened(catalog.text_field("contract_json", "intent_summary"), 100).alias("summary"))
 
 
+@query()
+def contract_problems(spark, d):
+    rows = _current(spark, d, "contracts", "contract_json")
+    return contracts.validate(rows, F.col("function_id"), F.col("contract_json")).withColumnRenamed("key", "function_id")
+
+
 @query(f"""SELECT function_id, function_name, tier FROM (
   SELECT function_id, function_name, CASE WHEN contains(lower(function_name), 'cache') THEN 0 WHEN contains(lower(file_path), 'cache') THEN 1 END AS tier FROM {_A})
 WHERE tier IS NOT NULL ORDER BY tier, function_id LIMIT 5""")
