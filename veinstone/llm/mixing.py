@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veinstone.session import cut
 
-#: Blocks of a source's permutation.
-BLOCKS = 4096
+#: Blocks of a source's permutation, fewer if all sources together would have more than BLOCK_ROWS.
+BLOCKS, BLOCK_ROWS = 4096, 200_000
 #: Most sources with a target.
 MAX_SOURCES = 10_000
 
@@ -105,6 +105,7 @@ def mix(items: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} targets")
     wanted = {r.source: Target(r.source, float(r.target_weight or 0), int(r.max_repeats or 0)) for r in sorted(rows, key=lambda r: (r.source, r.target_weight or 0, r.max_repeats or 0))}
+    blocks = max(1, min(blocks, BLOCK_ROWS // max(1, len(wanted))))
     # one row per text, in the source of its least id; combined in the tasks first
     first = F.min(F.struct("item_id", "source", "n_tokens"))
     texts = cut(
@@ -112,7 +113,7 @@ def mix(items: DataFrame, targets: DataFrame, total: int | None = None, seed: in
         .filter(F.col("source").isin(*wanted) if wanted else F.lit(False))
         .withColumn("order", F.xxhash64(F.lit(seed), "item_id")).withColumn("block", F.pmod(F.shiftrightunsigned("order", 20), F.lit(blocks)))
     )
-    per_block = texts.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect()  # at most sources x blocks rows
+    per_block = texts.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect()  # at most BLOCK_ROWS rows
     sizes: dict[str, int] = {}
     by_source: dict[str, list[tuple[int, int]]] = {}
     for r in per_block:

@@ -37,21 +37,21 @@ _QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«\s[^
 # Template syntax that is nothing else outside of code; group name, if any, is the variable.
 CERTAIN = re.compile(
     r"""
-    \{\{\{?\s*(?P<a>[\w.-]*)[^{}\n]*\}\}\}?
-  | \{%-?\s*(?:\w+\s+)?(?P<b>[\w.-]*)[^%\n]*%\}
-  | <%[=-]?\s*(?P<c>[\w.-]*)[^%\n]*%>
-  | \$\{\s*(?P<d>[\w.-]+)[^}\n]*\}
-  | \#\{\s*(?P<e>[\w.-]+)[^}\n]*\}
+    \{\{\{?\s*(?P<a>[\w.-]{0,60})[^{}\n]{0,120}\}\}\}?
+  | \{%-?\s*(?:\w+\s+)?(?P<b>[\w.-]{0,60})[^%\n]{0,120}%\}
+  | <%[=-]?\s*(?P<c>[\w.-]{0,60})[^%\n]{0,120}%>
+  | \$\{\s*(?P<d>[\w.-]{1,60})[^}\n]{0,120}\}
+  | \#\{\s*(?P<e>[\w.-]{1,60})[^}\n]{0,120}\}
   | %\((?P<f>\w+)\)[sdrf]
   | (?<![\w%])%[sd](?!\w)
   | (?<![\w%])%(?P<g>[A-Z][A-Z_]{2,})%(?!\w)
-  | @@\s*(?P<h>\w[\w -]*)@@
-  | <<\s*(?P<i>[A-Za-z][\w -]*?)\s*>>
-  | <\s*(?:insert|enter|add)\s+(?P<j>[\w -]+?)(?:\s+here)?\s*>
-  | <\s*your[ _-](?P<k>[\w -]+?)\s*>
-  | \[\s*(?:tbd|todo|insert|enter|add|fill\ in|your)\b[\s:_-]*(?P<l>[\w -]*?)(?:\s+here)?\s*\]
-  | \[\s*(?P<m>[\w -]+?)\s+goes\s+here\s*\]
-  | \*\*\*\s*(?P<n>[\w -]+?)\s*\*\*\*\s*\(fill\ in\)
+  | @@\s*(?P<h>\w[\w -]{0,60})@@
+  | <<\s*(?P<i>[A-Za-z][\w -]{0,60}?)\s*>>
+  | <\s*(?:insert|enter|add)\s+(?P<j>[\w -]{1,60}?)(?:\s+here)?\s*>
+  | <\s*your[ _-](?P<k>[\w -]{1,60}?)\s*>
+  | \[\s*(?:tbd|todo|insert|enter|add|fill\ in|your)\b[\s:_-]*(?P<l>[\w -]{0,60}?)(?:\s+here)?\s*\]
+  | \[\s*(?P<m>[\w -]{1,60}?)\s+goes\s+here\s*\]
+  | \*\*\*\s*(?P<n>[\w -]{1,60}?)\s*\*\*\*\s*\(fill\ in\)
   | \[object\ Object\]
   | \{\d\}
     """,
@@ -62,13 +62,13 @@ DOUBTFUL = re.compile(
     r"""
     \$(?P<a>[A-Za-z]\w*)\$
   | (?<!\w)__(?P<b>[A-Za-z]\w*?)__(?!\w)
-  | «(?P<c>[\w -]+)»
-  | &lt;\s*(?:your[ _-])?(?P<d>[\w -]+?)\s*&gt;
-  | \[\[\s*(?P<e>[\w -]+?)\s*\]\]
-  | \{(?P<f>[A-Za-z][\w -]*)\}
-  | \((?:enter|insert|fill\ in)\s+(?P<g>[\w -]+?)\)
-  | <(?P<h>[A-Za-z][\w -]*)>
-  | (?<!\*)\*\*\*(?P<i>[\w -]+?)\*\*\*(?!\*)
+  | «(?P<c>[\w -]{1,60})»
+  | &lt;\s*(?:your[ _-])?(?P<d>[\w -]{1,60}?)\s*&gt;
+  | \[\[\s*(?P<e>[\w -]{1,60}?)\s*\]\]
+  | \{(?P<f>[A-Za-z][\w -]{0,60})\}
+  | \((?:enter|insert|fill\ in)\s+(?P<g>[\w -]{1,60}?)\)
+  | <(?P<h>[A-Za-z][\w -]{0,60})>
+  | (?<!\*)\*\*\*(?P<i>[\w -]{1,60}?)\*\*\*(?!\*)
     """,
     re.X,
 )
@@ -137,7 +137,7 @@ NOTICE = re.compile(
 )
 #: Prose about such pages: reasons and conditions that a notice doesn't give.
 _TALK = re.compile(r"\b(?:because|when|whenever|although|unless|instead\ of|still\ works?|callers?|our\ own|the\ test|the\ worker|contract\ lists?)\b", re.I | re.X)
-_MENU = re.compile(r"^(?:\S+(?:\s\S+)?(?:\s{2,}|\s*[|›»·]\s*))+\S+(?:\s\S+)?$")
+_MENU_CUT = re.compile(r"\s{2,}|\s*[|›»·]\s*")
 _CHROME = re.compile(r"^(?:skip to (?:main )?content|back to top|powered by .{1,40}|print this page|return to .{1,30}|all rights reserved\.?|share|menu|home|search|sign in|log in|help|(?:status|code|incident|reference|error code|request id)[: ]+[0-9a-f-]+\.?)$", re.I)
 _TITLE = re.compile(r"^(?:#+\s*)?\S+ - [\w ]{1,30}$")
 _TAGS = re.compile(r"</?[A-Za-z!][^<>]*>")
@@ -205,13 +205,19 @@ def is_filler(masked: str) -> bool:
     return False
 
 
+def is_menu(line: str) -> bool:
+    """True for two or more entries of one or two words with bars or wide gaps between."""
+    entries = _MENU_CUT.split(line)
+    return len(entries) > 1 and all(1 <= len(e.split()) <= 2 for e in entries)
+
+
 def page_sentences(text: str) -> list[str] | None:
     """Sentences of a short page without menus and titles; None if it is too long to be one notice."""
     body = text.strip()
     if len(body) > 20 * PAGE_WORDS + 400:
         return None
     lines = [x.strip() for x in body.split("\n") if x.strip()]
-    kept = [x for x in lines if not (_CHROME.match(x) or _MENU.match(x) or _RULE.match(x))]
+    kept = [x for x in lines if not (_CHROME.match(x) or is_menu(x) or _RULE.match(x))]
     if len(kept) > 1 and _TITLE.match(kept[0]):
         kept = kept[1:]
     joined = "\n".join(kept)
