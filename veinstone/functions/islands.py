@@ -230,6 +230,8 @@ _C_TOKEN = re.compile(
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 # Words before a parenthesis that start no definition, and words that may stand before a name.
 _CONTROL = frozenset("if for while switch catch return throw new delete typeof sizeof await yield else do case with super this import in of instanceof static_assert alignof decltype function assert".split())
+#: Most tokens before the name of a definition, so that a long list of words stays linear to read.
+_LEAD = 400
 _SCRIPT_LEAD = frozenset("export default async static public private protected readonly override abstract declare get set function const let var".split())
 
 
@@ -367,7 +369,7 @@ def _owners(tokens: list, begin: int, i: int) -> list[str]:
 def _definition(tokens: list, begin: int, i: int, script: bool) -> tuple[str, int] | None:
     """(name, index of the body's brace) if token i is the name of a function definition of the statement at begin."""
     kind, word, _ = tokens[i]
-    if kind != "word" or word in _CONTROL or i + 1 >= len(tokens):
+    if kind != "word" or word in _CONTROL or i + 1 >= len(tokens) or i - begin > _LEAD:
         return None
     lead = tokens[begin:i]
     nxt = tokens[i + 1][1]

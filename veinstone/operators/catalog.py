@@ -52,9 +52,9 @@ def page(df: DataFrame, keys: Sequence[tuple[str, str]], limit: int, offset: int
 
 
 def page_with_total(df: DataFrame, keys: Sequence[tuple[str, str]], limit: int, offset: int = 0) -> DataFrame:
-    """The page with total (rows of df) and has_more; the count is one row that is broadcast."""
-    total = df.agg(F.count("*").alias("total"))
-    return page(df, keys, limit, offset).join(F.broadcast(total), how="cross").withColumn("has_more", F.lit(offset + limit) < F.col("total"))
+    """The page with total (rows of df) and has_more; the count is a scalar subquery."""
+    total = df.agg(F.count("*").alias("total")).scalar()
+    return page(df, keys, limit, offset).withColumn("total", total).withColumn("has_more", F.lit(offset + limit) < F.col("total"))
 
 
 def search(df: DataFrame, pattern: str, name: str, key: str, limit: int) -> DataFrame:

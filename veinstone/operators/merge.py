@@ -74,5 +74,5 @@ def claim_first(table: DataFrame, eligible: Column, order: Sequence[Column], key
 
 def with_ids(table: DataFrame, delta: DataFrame, id_column: str) -> DataFrame:
     """delta with ids that follow the table's greatest one; unique and ascending, not always without gaps."""
-    top = table.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("__top"))
-    return delta.join(F.broadcast(top), how="cross").withColumn(id_column, F.col("__top") + 1 + F.monotonically_increasing_id()).drop("__top")
+    top = table.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("__top")).scalar()
+    return delta.withColumn(id_column, top + 1 + F.monotonically_increasing_id())

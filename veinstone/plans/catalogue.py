@@ -314,7 +314,7 @@ def graph_stats(spark, d):
     artifacts = _current(spark, d, "artifacts", "status")
     flagged = catalog.with_existence(artifacts, load(spark, d, "contracts"), "function_id", "has")
     nodes = flagged.agg(F.count("*").alias("n_nodes"), F.count_if("has").alias("n_with_contract"))
-    return nodes.join(F.broadcast(_edges(spark, d).agg(F.count("*").alias("n_edges"))), how="cross").select("n_nodes", "n_edges", "n_with_contract")
+    return nodes.withColumn("n_edges", _edges(spark, d).agg(F.count("*").alias("n")).scalar()).select("n_nodes", "n_edges", "n_with_contract")
 
 
 @query(f"""SELECT node, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (
