@@ -166,7 +166,25 @@ found AS (
   WHERE r.k IS NOT NULL AND r.k NOT IN (FROM library))
 """
 
+_P1_SQL = f"""
+WITH cur AS (
+  SELECT {_canonical_sql("function_id")} AS function_id, contract_json AS j FROM contracts WHERE function_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY {_canonical_sql("function_id")} ORDER BY updated_at DESC NULLS LAST) = 1),
+valid AS (SELECT function_id, CASE WHEN json_type(j) = 'VARCHAR' THEN j->>'$' ELSE j END AS j FROM (SELECT * FROM cur WHERE j IS NOT NULL AND json_valid(j))),
+docs AS (SELECT function_id, j FROM (SELECT * FROM valid WHERE json_valid(j)) WHERE json_type(j) = 'OBJECT'),
+tree AS (SELECT d.function_id, t.fullkey AS p, t.type AS kind FROM docs d, json_tree(d.j::JSON) t),
+single AS (SELECT function_id, p AS top FROM tree WHERE kind = 'OBJECT' AND p IN ('$.invariants', '$.io_examples')),
+items AS (
+  SELECT t.function_id, CASE WHEN s.top IS NULL THEN t.p ELSE s.top || '[0]' || substr(t.p, length(s.top) + 1) END AS p
+  FROM tree t LEFT JOIN single s ON s.function_id = t.function_id AND (t.p = s.top OR starts_with(t.p, s.top || '.'))
+  WHERE t.kind = 'OBJECT'),
+objects AS (SELECT * FROM items WHERE ends_with(p, ']'))
+SELECT n.function_id, coalesce(arg_max(a.p, length(a.p)), '$') AS parent_path, n.p AS node_path
+FROM objects n LEFT JOIN objects a ON a.function_id = n.function_id AND starts_with(n.p, a.p || '.') GROUP BY n.function_id, n.p
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": _P1_SQL,
     "p4_found": _P4_SQL,
     "p5_found": f"""
 WITH RECURSIVE {_CALLS_SQL}
