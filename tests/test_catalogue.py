@@ -75,8 +75,9 @@ def test_merges(spark):
     assert values(merge.delete_where(old, F.col("h") == "1"), "k") == [("b",), ("c",)]
     done = merge.claim_first(old, F.col("born") == 1, [F.col("k").desc()], "k", {"born": F.col("born") + 1})
     assert values(done.filter("claimed"), "k", "born") == [("c", 2)] and done.count() == 3
-    ids = [r.born for r in merge.with_ids(old.withColumn("born", F.lit(41)), new.filter("k is not null"), "born").collect()]
-    assert min(ids) == 42 and len(set(ids)) == len(ids)
+    ids = [r.born for r in merge.with_ids(old.withColumn("born", F.lit(41)), new.filter("k is not null").repartition(3), "born").collect()]
+    assert sorted(ids) == [42, 43, 44, 45, 46]
+    assert merge.with_ids(old, new.limit(0), "born").count() == 0
 
 
 def test_overlaps_against_brute_force(spark):

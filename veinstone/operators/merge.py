@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veinstone.session import cut
+
 
 def _one_per_key(delta: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
     for k in keys:
@@ -73,6 +75,16 @@ def claim_first(table: DataFrame, eligible: Column, order: Sequence[Column], key
 
 
 def with_ids(table: DataFrame, delta: DataFrame, id_column: str) -> DataFrame:
-    """delta with ids that follow the table's greatest one; unique and ascending, not always without gaps."""
-    top = table.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("__top")).scalar()
-    return delta.withColumn(id_column, top + 1 + F.monotonically_increasing_id())
+    """delta with ids that follow the table's greatest one, without gaps.
+
+    Rows are numbered within their partitions; the driver adds up one count per partition, and no task sees all rows.
+    """
+    marked = cut(delta.withColumn("__at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit(2**33 - 1))
+    top = table.agg(F.max(id_column).alias("top")).head().top or 0
+    starts: list[tuple[int, int]] = []
+    for r in sorted(marked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect(), key=lambda r: r.part):
+        starts.append((r.part, top + 1))
+        top += r.n
+    offsets = F.broadcast(delta.sparkSession.createDataFrame(starts, "__part long, __start long"))  # one row per partition
+    return marked.withColumn("__part", part).join(offsets, "__part").withColumn(id_column, F.col("__start") + place).drop("__at", "__part", "__start")
