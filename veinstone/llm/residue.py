@@ -43,8 +43,8 @@ CERTAIN = re.compile(
   | \$\{\s*(?P<d>[\w.-]{1,60})[^}\n]{0,120}\}
   | \#\{\s*(?P<e>[\w.-]{1,60})[^}\n]{0,120}\}
   | %\((?P<f>\w+)\)[sdrf]
-  | (?<![\w%])%[sd](?!\w)
-  | (?<![\w%])%(?P<g>[A-Z][A-Z_]{2,})%(?!\w)
+  | %(?<![\w%]%)[sd](?!\w)
+  | %(?<![\w%]%)(?P<g>[A-Z][A-Z_]{2,})%(?!\w)
   | @@\s*(?P<h>\w[\w -]{0,60})@@
   | <<\s*(?P<i>[A-Za-z][\w -]{0,60}?)\s*>>
   | <\s*(?:insert|enter|add)\s+(?P<j>[\w -]{1,60}?)(?:\s+here)?\s*>
@@ -61,14 +61,14 @@ CERTAIN = re.compile(
 DOUBTFUL = re.compile(
     r"""
     \$(?P<a>[A-Za-z]\w*)\$
-  | (?<!\w)__(?P<b>[A-Za-z]\w*?)__(?!\w)
+  | __(?<!\w__)(?P<b>[A-Za-z]\w*?)__(?!\w)
   | «(?P<c>[\w -]{1,60})»
   | &lt;\s*(?:your[ _-])?(?P<d>[\w -]{1,60}?)\s*&gt;
   | \[\[\s*(?P<e>[\w -]{1,60}?)\s*\]\]
   | \{(?P<f>[A-Za-z][\w -]{0,60})\}
   | \((?:enter|insert|fill\ in)\s+(?P<g>[\w -]{1,60}?)\)
   | <(?P<h>[A-Za-z][\w -]{0,60})>
-  | (?<!\*)\*\*\*(?P<i>[\w -]{1,60}?)\*\*\*(?!\*)
+  | \*\*\*(?<!\*\*\*\*)(?P<i>[\w -]{1,60}?)\*\*\*(?!\*)
     """,
     re.X,
 )
@@ -82,6 +82,7 @@ LATIN = frozenset(
     " sunt culpa qui officia deserunt mollit anim id est laborum massa nunc arcu ligula leo odio porta nibh mauris urna justo"
     " turpis felis augue erat vel vestibulum pellentesque tortor orci eros vitae mattis ac at nec a cras donec".split()
 )
+_LATIN_MARKS = frozenset(w for w in LATIN if len(w) > 3)
 # Sentences that are filler as a whole.
 FILLER = re.compile(
     r"""^(?:
@@ -103,6 +104,11 @@ FILLER = re.compile(
     )[.!…]*$""",
     re.X | re.I,
 )
+# A text without any of these holds no sentence of FILLER.
+_FILLER_MARKS = (
+    "here", "dummy", "placeholder", "filler", "sample", "example", "replace", "blindtext", "platzhalter", "fülltext", "beispieltext", "texto", "texte", "faux", "describe the", "default text",
+    "description of", "coming soon", "to be ", "will be", "will follow", "under construction", "tbd", "tba", "todo", "tbc", "xxx", "n/a", "na", "??", "something", "anything", "delete this", "remove this", "overwrite this",
+)
 _NUMBERED = re.compile(r"^(?:heading|title|section|item|subheading|paragraph)\s+\d+\s*$", re.I)
 
 _SCRIPT = r"(?:java\s?scripts?|js|scripts?|scripting)"
@@ -164,10 +170,17 @@ def _hash(text: str) -> int:
 def slots(masked: str) -> tuple[list[str], list[str], list[tuple[int, bool]]]:
     """Names in certain syntax ('' if it has none), names in doubtful syntax, (frame, is blank) of each slot."""
     certain, doubtful, frames = [], [], []
-    for line in masked.split("\n"):
-        if not any(c in line for c in "{%$<>[@*«_(") and "&lt;" not in line and "  " not in line and " ." not in line and " ," not in line:
+    starts = [m.start() for r in (CERTAIN, DOUBTFUL) for m in r.finditer(masked)]
+    if any(x in masked for x in ("  ", " .", " ,", " ;", "(")):
+        starts += [m.start() for m in _BLANK.finditer(masked)]
+    done = -1
+    for at in sorted(starts):
+        if at < done:
             continue
-        for sentence in _SENTENCE.split(line):
+        first = masked.rfind("\n", 0, at) + 1
+        done = masked.find("\n", at)
+        done = len(masked) if done < 0 else done
+        for sentence in _SENTENCE.split(masked[first:done]):
             if len(sentence) < 3:
                 continue
             sure = [_name(m) for m in CERTAIN.finditer(sentence)]
@@ -185,22 +198,29 @@ def slots(masked: str) -> tuple[list[str], list[str], list[tuple[int, bool]]]:
 
 def is_filler(masked: str) -> bool:
     """True if a paragraph stands for content that was never written."""
+    small = masked.lower()
+    latin = not _LATIN_MARKS.isdisjoint(small.replace(",", " ").replace(".", " ").split())
+    marked = any(x in small for x in _FILLER_MARKS)
     for paragraph in re.split(r"\n[ \t]*\n", masked):
         lines = [x.strip().strip("*#_> \t").rstrip(":") for x in paragraph.split("\n")]
         lines = [x for x in lines if x]
         if not lines:
             continue
-        words = re.findall(r"[^\W\d_]+", paragraph.lower())
-        if len(words) >= 6 and sum(w in LATIN for w in words) >= 0.75 * len(words):
-            return True
-        if len(words) >= 3 and len(set(words)) == 1 and len(words[0]) > 1:
-            return True
+        ends = lines[0].split(None, 1)[0].lower(), lines[-1].rsplit(None, 1)[-1].lower().rstrip(".!")
+        if latin or ends[0].rstrip(".!") == ends[1]:
+            words = re.findall(r"[^\W\d_]+", paragraph.lower())
+            if len(words) >= 6 and sum(w in LATIN for w in words) >= 0.75 * len(words):
+                return True
+            if len(words) >= 3 and len(set(words)) == 1 and len(words[0]) > 1:
+                return True
+        if not marked and paragraph.count(lines[0][:8]) < 2 and (len(lines) == 1 or not _NUMBERED.match(lines[0])):
+            continue
         sentences = [s.strip() for x in lines for s in _SENTENCE.split(x) if s.strip()]
         if len(sentences) >= 3 and len(set(sentences[:-1])) == 1:
             return True
-        if sum(bool(_NUMBERED.match(x)) for x in lines) >= 2 and all(_NUMBERED.match(x) or FILLER.match(x) for x in lines):
+        if len(lines) > 1 and sum(bool(_NUMBERED.match(x)) for x in lines) >= 2 and all(_NUMBERED.match(x) or FILLER.match(x) for x in lines):
             return True
-        if any(FILLER.match(s) for s in sentences) and not any(_TALK.search(s) for s in sentences if FILLER.match(s)):
+        if any(FILLER.match(s) and not _TALK.search(s) for s in sentences):
             return True
     return False
 
@@ -214,7 +234,7 @@ def is_menu(line: str) -> bool:
 def page_sentences(text: str) -> list[str] | None:
     """Sentences of a short page without menus and titles; None if it is too long to be one notice."""
     body = text.strip()
-    if len(body) > 20 * PAGE_WORDS + 400:
+    if len(body) > 20 * PAGE_WORDS + 400 or (len(body) > 6 * PAGE_WORDS and "<" not in body and len(body.split()) > 2 * PAGE_WORDS):
         return None
     lines = [x.strip() for x in body.split("\n") if x.strip()]
     kept = [x for x in lines if not (_CHROME.match(x) or is_menu(x) or _RULE.match(x))]
