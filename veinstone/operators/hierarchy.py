@@ -188,12 +188,12 @@ def forest(links: DataFrame, core_nodes: int = CORE_NODES) -> DataFrame:
     return result
 
 
-def hashed_ids(names: DataFrame, column: str) -> DataFrame:
-    """column, id: a 64-bit hash of each different name, with a seed for which no two names share one."""
+def with_hashed_ids(nodes: DataFrame) -> DataFrame:
+    """nodes (node, parent) with id and parent_id: 64-bit hashes, with a seed for which no two nodes share one."""
     for seed in range(8):
-        ids = cut(names.select(column).distinct().withColumn("id", F.xxhash64(F.lit(seed), column)))
-        if not ids.groupBy("id").count().filter("count > 1").head(1):
-            return ids.withColumn("seed", F.lit(seed))
+        hashed = nodes.withColumns({"id": F.xxhash64(F.lit(seed), "node"), "parent_id": F.when(F.col("parent").isNotNull(), F.xxhash64(F.lit(seed), "parent"))})
+        if not hashed.groupBy("id").count().filter("count > 1").head(1):
+            return hashed
     raise RuntimeError("no seed without a collision")
 
 
@@ -203,13 +203,10 @@ def hierarchy(links: DataFrame, core_nodes: int = CORE_NODES) -> DataFrame:
     root is the top of the tree, or, where parents never end, the smallest node on the cycle with depth -1;
     in_cycle marks the nodes on a cycle itself. tree, enter and leave are the interval of the node's subtree.
     """
-    links = links.filter(F.col("node").isNotNull())
-    one = links.groupBy("node").agg(F.min("parent").alias("parent"))
-    names = one.select("node").unionByName(links.select(F.col("parent").alias("node"))).filter(F.col("node").isNotNull())
-    ids = hashed_ids(names, "node")
-    seed = (ids.select("seed").head() or (0,))[0]
-    parented = ids.drop("seed").join(one, "node", "left")
-    nodes = cut(parented.withColumn("parent_id", F.when(F.col("parent").isNotNull(), F.xxhash64(F.lit(seed), "parent"))))
+    links = links.select("node", "parent").filter(F.col("node").isNotNull())
+    # one shuffle: parents are nodes too, with no parent of their own unless another row names it
+    every = links.unionByName(links.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")).filter(F.col("node").isNotNull()))
+    nodes = with_hashed_ids(cut(every.groupBy("node").agg(F.min("parent").alias("parent"))))
     found = forest(nodes.select("id", F.col("parent_id").alias("parent")), core_nodes)
     rows = cut(nodes.drop("parent_id").join(found, "id").withColumn("top", F.coalesce("cycle", "tree")))
     in_cycle = F.col("cycle").isNotNull() & (F.col("id") == F.col("tree"))

@@ -54,11 +54,11 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def call_links(spark: SparkSession, d: str) -> DataFrame:
-    """node, parent: every function of the counted edges with the caller of its earliest edge as callee."""
+    """node, parent: the functions of the counted edges, as callees with the caller of their earliest edge, as callers with null."""
     edges = _calls(spark, d)
     first = F.min(F.struct(F.col("created_at").isNull().alias("late"), "created_at", "caller"))
     parents = edges.groupBy("callee").agg(first.alias("first")).select(F.col("callee").alias("node"), F.col("first.caller").alias("parent"))
-    return parents.unionByName(edges.select(F.col("caller").alias("node")).distinct().withColumn("parent", F.lit(None).cast("string")))
+    return parents.unionByName(edges.select(F.col("caller").alias("node")).withColumn("parent", F.lit(None).cast("string")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
