@@ -1,6 +1,13 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from veinstone.session import ship  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -11,5 +18,5 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    yield ship(session)
     session.stop()

@@ -63,6 +63,8 @@ def test_paths_and_descendants(spark):
     tree = h.cut(h.hierarchy(spark.createDataFrame(links, "node string, parent string")))
     paths = {r.node: r.path for r in h.full_paths(tree).collect()}
     assert paths["d"] == ["a", "b", "d"] and paths["a"] == ["a"] and paths["z"] is None
+    pairs = sorted((r.node, r.descendant, r.distance) for r in h.descendant_pairs(tree).collect())
+    assert pairs == [("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)]
     below = h.descendants_of(tree, spark.createDataFrame([("b",), ("y",)], "node string")).collect()
     assert sorted((r.node, r.descendant) for r in below) == [("b", "c"), ("b", "d"), ("y", "z")]
 

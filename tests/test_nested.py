@@ -1,6 +1,9 @@
 import json
+import re
 
-from veinstone.operators.nested import parse_document, relations, schema_edges, shred
+from hypothesis import given, settings, strategies as st
+
+from veinstone.operators.nested import parse_document, relations, schema_edges, shred, shred_document
 from veinstone.operators import nested
 
 
@@ -58,12 +61,58 @@ def brute(doc, single=()):
     return sorted(out)
 
 
-def rebuild(rows, own):
-    """The document from its rows: the exact round trip."""
-    tree = {}
-    for r in sorted(rows, key=lambda r: r.node_path.count(".") + r.node_path.count("[")):
-        tree[r.node_path] = r
-    return tree
+def rebuild(rows):
+    """The document from its rows, fields and links alone."""
+    kids = {}
+    for label, path, parent, _, in_list, kind, fields in rows:
+        if parent is not None:
+            kids.setdefault(parent, []).append((label, path, in_list, kind, fields))
+
+    def fill(path, fields):
+        out = {}
+        for name, text in fields.items():
+            at = out
+            *outer, last = name.split(".")
+            for o in outer:
+                at = at[o]
+            at[last] = {} if text == "{}" else [] if text == "[]" else json.loads(text)
+        for label, child, in_list, kind, mine in kids.get(path, []):
+            value = fill(child, mine) if kind == "object" else [] if mine["value"] == "[]" else json.loads(mine["value"])
+            at = out
+            steps = re.findall(r"\.([^.\[]+)|\[(\d+)\]", child[len(path) :])
+            for (key, index), (_, after) in zip(steps, [*steps[1:], ("", None)]):
+                if after is None:
+                    if key:
+                        at[key] = value
+                    else:
+                        at.extend([None] * (int(index) + 1 - len(at)))
+                        at[int(index)] = value if at[int(index)] is None else at[int(index)]
+                elif key:
+                    at = at[key]
+                else:
+                    at.extend([None] * (int(index) + 1 - len(at)))
+                    if at[int(index)] is None:
+                        at[int(index)] = []
+                    at = at[int(index)]
+        return out
+
+    return fill("$", next(f for *_, path, parent, _i, _l, _k, f in rows if parent is None and path == "$"))
+
+
+KEYS = st.sampled_from(["a", "b", "c", "lines", "é"])
+VALUES = st.recursive(st.none() | st.booleans() | st.integers(-9, 9) | st.text("xyü", max_size=3), lambda v: st.lists(v, max_size=3) | st.dictionaries(KEYS, v, max_size=3), max_leaves=14)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(KEYS, VALUES, max_size=4))
+def test_round_trip(doc):
+    parsed = parse_document(json.dumps(doc))
+    own = relations(schema_edges(parsed, "root"), "root")
+    for tables in (own, None):
+        rows = list(shred_document(parsed, "root", tables))
+        assert rebuild(rows) == doc
+        assert sorted((r[3], r[1]) for r in rows if r[4] and r[5] == "object") == brute(doc)
+    assert nested._parse_deep(json.dumps(doc)) == nested._parse(json.dumps(doc))
 
 
 def test_rows_links_and_fields(spark):

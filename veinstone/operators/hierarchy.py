@@ -236,3 +236,9 @@ def full_paths(tree: DataFrame) -> DataFrame:
         done, open_ = grown.filter(F.col("above").isNull()), grown.filter(F.col("above").isNotNull())
         grown = cut(done.unionByName(open_.join(upper, "above").select("node", F.concat("upper", "path").alias("path"), F.col("next").alias("above"))))
     return tree.select("node").join(grown.select("node", "path"), "node", "left")
+
+
+def descendant_pairs(tree: DataFrame) -> DataFrame:
+    """node, descendant, distance for every node above another; as many rows as the depths add up to, none for cycles."""
+    steps = full_paths(tree).filter(F.size("path") > 1).select(F.col("node").alias("descendant"), (F.size("path") - 1).alias("depth"), F.posexplode("path").alias("at", "node"))
+    return steps.filter(F.col("at") < F.col("depth")).select("node", "descendant", (F.col("depth") - F.col("at")).alias("distance"))

@@ -43,6 +43,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of the code hashes with the values before and after."""
+    table = load(spark, d, "artifact_snapshots")
+    changes = snapshots.snapshot_changes(table, "scan_no", canonical_id("function_id"), _normal("code_hash"), "updated_at", with_values=True)
+    return changes.select(F.col("scan_no").cast("int").alias("scan_no"), F.col("key").alias("function_id"), "change_type", "old_value", "new_value")
+
+
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     """caller, callee, created_at of the edges that count."""
     library = load(spark, d, "library_functions").select(canonical_id("function_id").alias("fn")).filter("fn is not null").distinct()
@@ -76,6 +83,12 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every function outside cycles, with their distance."""
+    pairs = tree.descendant_pairs(tree.cut(tree.hierarchy(call_links(spark, d))))
+    return pairs.select(F.col("node").alias("function_id"), F.col("descendant").alias("descendant_id"), "distance")
+
+
 def orphan_state(spark: SparkSession, d: str) -> DataFrame:
     """The orphan state after one step over the whole tables."""
     library = load(spark, d, "library_functions").select(canonical_id("function_id").alias("key")).filter("key is not null").distinct()
@@ -100,7 +113,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.counts(orphan_state(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p4_found, p5_found, p5_paths, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p4_found, p4_values, p5_found, p5_paths, p5_descendants, p6_found, p6_counts)}
 
 
 def _canonical_sql(c: str) -> str:
@@ -145,7 +158,7 @@ best AS (
 now_ AS (SELECT b.*, s.prior FROM best b JOIN scans s USING (src_table, scan_no) WHERE s.prior IS NOT NULL),
 old AS (SELECT b.src_table, s.scan_no, b.function_id, b.v FROM best b JOIN scans s ON s.src_table = b.src_table AND s.prior = b.scan_no)
 SELECT src_table, CAST(scan_no AS INTEGER) AS scan_no, function_id,
-  CASE WHEN o.hit IS NULL THEN 'added' WHEN n.hit IS NULL THEN 'removed' ELSE 'changed' END AS change_type
+  CASE WHEN o.hit IS NULL THEN 'added' WHEN n.hit IS NULL THEN 'removed' ELSE 'changed' END AS change_type, o.v AS old_value, n.v AS new_value
 FROM (SELECT *, 1 AS hit FROM now_) n FULL JOIN (SELECT *, 1 AS hit FROM old) o USING (src_table, scan_no, function_id)
 WHERE o.hit IS NULL OR n.hit IS NULL OR n.v IS DISTINCT FROM o.v
 """
@@ -185,7 +198,12 @@ FROM objects n LEFT JOIN objects a ON a.function_id = n.function_id AND starts_w
 
 SQL: dict[str, str] = {
     "p1_found": _P1_SQL,
-    "p4_found": _P4_SQL,
+    "p4_found": f"SELECT src_table, scan_no, function_id, change_type FROM ({_P4_SQL})",
+    "p4_values": f"SELECT scan_no, function_id, change_type, old_value, new_value FROM ({_P4_SQL}) WHERE src_table = 'artifacts'",
+    "p5_descendants": f"""
+WITH RECURSIVE {_CALLS_SQL},
+ups AS (SELECT node, unnest(path) AS up, generate_subscripts(path, 1) - 1 AS distance FROM ended WHERE NOT looped)
+SELECT up AS function_id, node AS descendant_id, CAST(distance AS INTEGER) AS distance FROM ups WHERE distance > 0""",
     "p5_found": f"""
 WITH RECURSIVE {_CALLS_SQL}
 SELECT node AS function_id,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,26 @@ def build_session(app: str = "veinstone", master: str | None = None, conf: dict[
     } | (conf or {})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors once per session, so that Python workers find it wherever they start."""
+    context = spark.sparkContext
+    if getattr(context, "_veinstone_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # else it runs from an archive, which was sent already
+        archive = os.path.join(tempfile.mkdtemp(prefix="veinstone-"), "veinstone.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, files in os.walk(root):
+                for name in files:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(archive)  # Spark's own file server hands it to the executors
+    context._veinstone_shipped = True
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
