@@ -45,7 +45,13 @@ PATTERN_WORDS = {
 }
 
 
+_LITERAL = re.compile(r'(?:[A-Za-z0-9_ "=]|\\[^\w\s])+')
+
+
 def _matches(text: Column, pattern: str) -> Column:
+    """Whether a pattern matches without regard to case; one without classes is a plain search in the lower-case text."""
+    if _LITERAL.fullmatch(pattern):
+        return F.coalesce(F.contains(F.lower(text), F.lit(re.sub(r"\\(.)", r"\1", pattern).lower())), F.lit(False))
     return F.coalesce(text.rlike(f"(?iU){pattern}"), F.lit(False))
 
 
