@@ -79,6 +79,8 @@ def test_mix(spark, blocks):
         used[keys[u.item_id]] = used.get(keys[u.item_id], 0) + u.n_uses
     assert max(used.values()) <= 2
     assert mixing.mix(items.limit(0), targets).uses.count() == 0
+    large = mixing.mix(items, targets, "corpus", blocks=blocks)
+    assert 0 < large.exponent < 1 and {r.source: r.most_uses for r in large.shares.collect()} == {"big": 1, "tiny_one": 2, "absent": 0}
 
 
 def test_tokens(spark):

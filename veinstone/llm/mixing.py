@@ -98,8 +98,11 @@ class Mixture:
     exponent: float
 
 
-def mix(items: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0, blocks: int = BLOCKS) -> Mixture:
-    """A mixture of items (item_id long, source string, text_key, n_tokens long) for targets (source, target_weight, max_repeats)."""
+def mix(items: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 0, blocks: int = BLOCKS) -> Mixture:
+    """A mixture of items (item_id long, source string, text_key, n_tokens long) for targets (source, target_weight, max_repeats).
+
+    total: tokens of the mixture, ``corpus`` for as many as all texts have, None for the most that meets the targets.
+    """
     spark = items.sparkSession
     rows = targets.select(source_name("source").alias("source"), "target_weight", "max_repeats").filter("source is not null").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -119,7 +122,7 @@ def mix(items: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     for r in per_block:
         sizes[r.source] = sizes.get(r.source, 0) + r.n
         by_source.setdefault(r.source, []).append((r.block, r.n))
-    plan, exponent = budgets(sizes, wanted, total)
+    plan, exponent = budgets(sizes, wanted, sum(sizes.values()) if total == "corpus" else total)
     cuts = []  # source, whole passes, blocks before the last one, its number, tokens left for it
     for source, budget in plan.items():
         passes = min(int(budget // sizes[source]), wanted[source].max_repeats)

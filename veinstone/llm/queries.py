@@ -57,11 +57,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return totals.join(F.broadcast(packs), "pack_name").withColumn("fill_share", F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")))
 
 
-def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+def _mixture(spark: SparkSession, d: str, total: str | None = None) -> mixing.Mixture:
     documents = load(spark, d, "documents").filter("doc_id is not null and text is not null")
     keyed = documents.select("doc_id", "source", F.md5("text").alias("text_key"), "text")
     sized = tokens.with_tokens(keyed, "text", ["doc_id", "source", "text_key"]).withColumnRenamed("doc_id", "item_id")
-    return mixing.mix(sized, load(spark, d, "mix_targets"))
+    return mixing.mix(sized, load(spark, d, "mix_targets"), total)
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -74,10 +74,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares
 
 
+def p8_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a mixture as large as the corpus, tempered so far that no text repeats too often."""
+    mixture = _mixture(spark, d, "corpus")
+    return mixture.shares.withColumn("exponent", F.lit(round(mixture.exponent, 6)))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold template residue, filler or an error page."""
     return residue.residue(load(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_signs, p3_found, p3_pairs, p7_packs, p7_fill, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_signs, p3_found, p3_pairs, p7_packs, p7_fill, p8_mix, p8_shares, p8_corpus_shares, p9_found)}
 SQL: dict[str, str] = {}
