@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veinstone.functions.code_text import code_hash
 from veinstone.functions.ids import canonical_id, id_name, id_path, valid_id
@@ -46,6 +46,19 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.distinct_edges(raw)
 
 
+def _stamp(column: str) -> Column:
+    """A time as text, so that no client's time type or zone matters."""
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
+
+
+def _double(column: str) -> Column:
+    return F.col(column).cast("double").alias(column)
+
+
+def _stamp_sql(column: str) -> str:
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
 def _cur(table: str) -> str:
     return f"(SELECT * FROM {table} WHERE function_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY function_id ORDER BY updated_at DESC NULLS LAST) = 1)"
 
@@ -85,28 +98,28 @@ def artifact_page(spark, d):
     return catalog.page(rows, [("file_path", "asc"), ("start_line", "asc"), ("function_id", "asc")], 50, 100).select("function_id", "file_path", "start_line")
 
 
-@query(f"""SELECT c.function_id, c.confidence_score, c.verification_script IS NOT NULL AS has_verification_script, a.file_path, a.status
+@query(f"""SELECT c.function_id, c.confidence_score::DOUBLE AS confidence_score, c.verification_script IS NOT NULL AS has_verification_script, a.file_path, a.status
 FROM {_C} c JOIN {_A} a USING (function_id) WHERE c.function_id IN (SELECT function_id FROM {_Q} WHERE status = 'FAILED')""")
 def contract_batch(spark, d):
     failed = catalog.where_all(_current(spark, d, "queue", "status"), {"status": "FAILED"})
     wanted = catalog.lookup_many(_current(spark, d, "contracts", "confidence_score", "verification_script"), "function_id", failed)
     artifacts = _current(spark, d, "artifacts", "file_path", "status").drop("updated_at")
-    return wanted.join(artifacts, "function_id").select("function_id", "confidence_score", F.col("verification_script").isNotNull().alias("has_verification_script"), "file_path", "status")
+    return wanted.join(artifacts, "function_id").select("function_id", _double("confidence_score"), F.col("verification_script").isNotNull().alias("has_verification_script"), "file_path", "status")
 
 
-@query(f"""SELECT c.function_id, a.function_name, c.confidence_score FROM {_C} c JOIN {_A} a USING (function_id)
+@query(f"""SELECT c.function_id, a.function_name, c.confidence_score::DOUBLE AS confidence_score FROM {_C} c JOIN {_A} a USING (function_id)
 WHERE a.function_name LIKE 'merge%' OR c.function_id LIKE '%merge%'
 ORDER BY CASE WHEN a.function_name = 'merge' THEN 0 ELSE 1 END, a.function_name NULLS LAST, c.function_id LIMIT 10""")
 def contract_search(spark, d):
     joined = _current(spark, d, "contracts", "confidence_score").drop("updated_at").join(_current(spark, d, "artifacts", "function_name").drop("updated_at"), "function_id")
-    return catalog.search(joined, "merge", "function_name", "function_id", 10).select("function_id", "function_name", "confidence_score")
+    return catalog.search(joined, "merge", "function_name", "function_id", 10).select("function_id", "function_name", _double("confidence_score"))
 
 
-@query(f"""SELECT c.function_id, c.confidence_score, a.status FROM {_C} c JOIN {_A} a USING (function_id)
+@query(f"""SELECT c.function_id, c.confidence_score::DOUBLE AS confidence_score, a.status FROM {_C} c JOIN {_A} a USING (function_id)
 ORDER BY c.confidence_score DESC NULLS LAST, c.function_id LIMIT 50""")
 def contract_list(spark, d):
     joined = _current(spark, d, "contracts", "confidence_score").drop("updated_at").join(_current(spark, d, "artifacts", "status").drop("updated_at"), "function_id")
-    return catalog.page(joined, [("confidence_score", "desc"), ("function_id", "asc")], 50).select("function_id", "confidence_score", "status")
+    return catalog.page(joined, [("confidence_score", "desc"), ("function_id", "asc")], 50).select("function_id", _double("confidence_score"), "status")
 
 
 @query(f"""WITH hits AS (
@@ -168,21 +181,21 @@ def queue_list(spark, d):
     return kept.select("function_id", "priority", "status")
 
 
-@query(f"SELECT id, commit_sha, function_id, created_at FROM {_H} WHERE commit_sha LIKE 'a%' AND pattern_type = 'off_by_one' ORDER BY created_at DESC NULLS LAST, id LIMIT 100")
+@query(f"SELECT id, commit_sha, function_id, {_stamp_sql('created_at')} AS created_at FROM {_H} h WHERE commit_sha LIKE 'a%' AND pattern_type = 'off_by_one' ORDER BY h.created_at DESC NULLS LAST, id LIMIT 100")
 def learning_events(spark, d):
     rows = catalog.where_all(_history(spark, d), {"pattern_type": "off_by_one"}, {"commit_sha": "a%"})
-    return catalog.page(rows, [("created_at", "desc"), ("id", "asc")], 100).select("id", "commit_sha", "function_id", "created_at")
+    return catalog.page(rows, [("created_at", "desc"), ("id", "asc")], 100).select("id", "commit_sha", "function_id", _stamp("created_at"))
 
 
-@query("SELECT event_id, ts, value FROM events WHERE event_type = 'error' ORDER BY ts DESC NULLS LAST, event_id LIMIT 100")
+@query(f"SELECT event_id, {_stamp_sql('ts')} AS ts, value FROM events e WHERE event_type = 'error' ORDER BY e.ts DESC NULLS LAST, event_id LIMIT 100")
 def findings_newest(spark, d):
     rows = catalog.where_all(load(spark, d, "events"), {"event_type": "error"})
-    return catalog.page(rows, [("ts", "desc"), ("event_id", "asc")], 100).select("event_id", "ts", "value")
+    return catalog.page(rows, [("ts", "desc"), ("event_id", "asc")], 100).select("event_id", _stamp("ts"), "value")
 
 
-@query("SELECT event_id, user_id, ts FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) <= 3")
+@query(f"SELECT event_id, user_id, {_stamp_sql('ts')} AS ts FROM events e WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY e.ts DESC NULLS LAST, event_id DESC) <= 3")
 def traces_newest_per_key(spark, d):
-    return stats.newest_per_key(load(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 3)
+    return stats.newest_per_key(load(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 3).select("event_id", "user_id", _stamp("ts"))
 
 
 # roll-ups
@@ -428,16 +441,16 @@ def scan_stats(spark, d):
 
 @query(f"""SELECT coalesce(s.function_id, a.function_id) AS function_id,
   CASE WHEN s.function_id IS NULL OR s.code_hash IS NOT DISTINCT FROM a.code_hash THEN a.code_hash ELSE s.code_hash END AS code_hash,
-  CASE WHEN a.function_id IS NULL THEN s.created_at ELSE a.created_at END AS created_at
+  {_stamp_sql('CASE WHEN a.function_id IS NULL THEN s.created_at ELSE a.created_at END')} AS created_at
 FROM (SELECT function_id, code_hash, created_at FROM {_A}) a FULL JOIN (SELECT *, updated_at AS created_at FROM {_SCAN}) s USING (function_id)""")
 def artifact_upsert(spark, d):
     table = _current(spark, d, "artifacts", "code_hash", "created_at").select("function_id", "code_hash", "created_at")
     delta = _scan(spark, d).withColumn("created_at", F.col("updated_at"))
-    return merge.merge_changed(table, delta, ["function_id"], "code_hash", ["created_at"], "updated_at")
+    return merge.merge_changed(table, delta, ["function_id"], "code_hash", ["created_at"], "updated_at").select("function_id", "code_hash", _stamp("created_at"))
 
 
-@query(f"""SELECT coalesce(n.function_id, o.function_id) AS function_id, coalesce(n.confidence_score, CASE WHEN n.function_id IS NULL THEN o.confidence_score END) AS confidence_score,
-  CASE WHEN o.function_id IS NULL THEN n.created_at ELSE o.created_at END AS created_at
+@query(f"""SELECT coalesce(n.function_id, o.function_id) AS function_id, coalesce(n.confidence_score, CASE WHEN n.function_id IS NULL THEN o.confidence_score END)::DOUBLE AS confidence_score,
+  {_stamp_sql('CASE WHEN o.function_id IS NULL THEN n.created_at ELSE o.created_at END')} AS created_at
 FROM (SELECT function_id, confidence_score, created_at FROM contracts WHERE function_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY function_id ORDER BY updated_at ASC NULLS FIRST) = 1) o
 FULL JOIN (SELECT function_id, confidence_score, created_at FROM {_C}) n USING (function_id)""")
 def contract_upsert(spark, d):
@@ -445,7 +458,7 @@ def contract_upsert(spark, d):
     raw = load(spark, d, "contracts").select(*columns, "updated_at")
     age = F.coalesce(-F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(2**62))
     old = current_rows(raw.withColumn("age", age), "function_id", "age").select(*columns)
-    return merge.upsert(old, _current(spark, d, "contracts", "confidence_score", "created_at").select(*columns), ["function_id"], ["created_at"])
+    return merge.upsert(old, _current(spark, d, "contracts", "confidence_score", "created_at").select(*columns), ["function_id"], ["created_at"]).select("function_id", _double("confidence_score"), _stamp("created_at"))
 
 
 @query(f"""SELECT caller_id, callee_id FROM (SELECT DISTINCT caller_id, callee_id FROM dependencies WHERE caller_id IS NOT NULL AND callee_id IS NOT NULL)

@@ -53,8 +53,8 @@ def p4_values(spark: SparkSession, d: str) -> DataFrame:
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     """caller, callee, created_at of the edges that count."""
     library = load(spark, d, "library_functions").select(canonical_id("function_id").alias("fn")).filter("fn is not null").distinct()
-    edges = load(spark, d, "dependencies").select(canonical_id("caller_id").alias("caller"), canonical_id("callee_id").alias("callee"), "created_at")
-    edges = edges.filter("caller is not null and callee is not null")
+    raw = load(spark, d, "dependencies").filter("caller_id is not null and callee_id is not null")  # pushed to the scan
+    edges = raw.select(canonical_id("caller_id").alias("caller"), canonical_id("callee_id").alias("callee"), "created_at")
     for side in ("caller", "callee"):
         edges = edges.join(broadcast_if_small(library.withColumnRenamed("fn", side)), side, "left_anti")
     return edges
@@ -94,7 +94,7 @@ def orphan_state(spark: SparkSession, d: str) -> DataFrame:
     library = load(spark, d, "library_functions").select(canonical_id("function_id").alias("key")).filter("key is not null").distinct()
     references = []
     for table, field in (("dependencies", "caller_id"), ("dependencies", "callee_id"), ("learning_history", "function_id")):
-        rows = load(spark, d, table).select(canonical_id(field).alias("key"), "created_at")
+        rows = load(spark, d, table).filter(F.col(field).isNotNull()).select(canonical_id(field).alias("key"), "created_at")
         rows = rows.join(broadcast_if_small(library), "key", "left_anti")
         references.append(orphans.Reference(rows, table, field, F.col("key"), F.col("created_at")))
     artifacts, listings = load(spark, d, "artifacts"), load(spark, d, "artifact_snapshots")
