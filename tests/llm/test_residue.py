@@ -50,3 +50,8 @@ def test_names_seen_anywhere_decide_doubtful_slots(spark):
     assert found == {1, 2, 3, 5, 9, 10, 11, 12, 13, 20, 21, 22}
     assert {r.doc_id for r in without_residue(df).collect() if r.doc_id is not None} == {4, 6, 7, 8}
     assert residue(df.limit(0)).count() == 0
+
+
+def test_blanks_count_where_the_frame_has_values(spark):
+    rows = [(1, "Dear {{ owner }}, the scan of ${PATH} has finished."), (2, "Dear , the scan of  has finished."), (3, "Some other words , with  gaps in them.")]
+    assert {(r.doc_id, r.reason) for r in residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(1, "slot"), (2, "slot")}
