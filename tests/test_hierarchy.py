@@ -74,3 +74,18 @@ def test_nulls_repeats_unknown_parents_and_empty(spark):
     got = {r.node: (r.root, r.depth) for r in h.hierarchy(df).collect()}
     assert got == {"b": ("p", 1), "p": ("p", 0), "q": ("q", 0)}
     assert h.hierarchy(spark.createDataFrame([], "node string, parent string")).count() == 0
+
+
+def test_more_roots_and_cycles_than_the_core_holds(spark, monkeypatch):
+    rounds, rake = [], h._rake
+
+    def counted(table):
+        rounds.append(1)
+        assert len(rounds) < 30, "the rounds make no progress"
+        return rake(table)
+
+    monkeypatch.setattr(h, "_rake", counted)
+    links = [(f"r{i:02d}", None) for i in range(20)] + [(f"s{i:02d}", f"s{i:02d}") for i in range(12)]
+    links += [(f"p{i}", f"q{i}") for i in range(6)] + [(f"q{i}", f"p{i}") for i in range(6)]
+    links += [(f"k{i:02d}", f"r{i:02d}") for i in range(10)] + [("l", "s03"), ("m", "l"), ("n", "q2"), ("o", "n")]
+    check(spark, links, 8)

@@ -1,7 +1,7 @@
 """Parent-child links to full hierarchies: root, depth, entry-exit intervals, paths, descendants, cycles.
 
 Method: leaves are peeled off (and runs of only children spliced out, so that long chains need few rounds)
-until the rest fits a bound. In that core, peeling to the end exposes the cycles; what hangs below is laid
+until the rest fits a bound; roots and self-loops that nothing hangs from any more are finished on the way. In that core, peeling to the end exposes the cycles; what hangs below is laid
 out as Euler tours, whose lists are ranked by parallel pointer jumping. Entry and exit positions give depth,
 root and the interval of each subtree; the removed nodes get theirs back in reverse order.
 
@@ -152,6 +152,17 @@ def _compress(table: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     return kept, removed
 
 
+def _finish(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table without its whole components (roots and self-loops that nothing else hangs from), and these as rows of the result."""
+    above = table.filter(F.col("parent") != F.col("id")).select(F.col("parent").alias("id")).distinct()
+    ended = table.filter(F.col("parent").isNull() | (F.col("parent") == F.col("id"))).join(above, "id", "left_anti")
+    done = ended.select(
+        "id", F.col("id").alias("tree"), F.when(F.col("parent").isNotNull(), F.col("id")).alias("cycle"), F.lit(0).cast("long").alias("depth"),
+        F.col("pre").alias("enter"), (F.col("pre") + F.col("own")).alias("leave"),
+    )
+    return table.join(ended.select("id"), "id", "left_anti").select(*_CORE), done
+
+
 def forest(links: DataFrame, core_nodes: int = CORE_NODES) -> DataFrame:
     """id, tree, cycle, depth, enter, leave from (id long, parent long or null), one row per node.
 
@@ -160,6 +171,7 @@ def forest(links: DataFrame, core_nodes: int = CORE_NODES) -> DataFrame:
     """
     table = cut(links.select("id", "parent", F.lit(1).cast("long").alias("w"), F.lit(1).cast("long").alias("own"), F.lit(0).cast("long").alias("pre")))
     removals: list[tuple[str, DataFrame]] = []
+    finished: list[DataFrame] = []
     turn = 0
     while table.count() > core_nodes:
         kept, leaves = _rake(table)
@@ -168,8 +180,13 @@ def forest(links: DataFrame, core_nodes: int = CORE_NODES) -> DataFrame:
         table, spliced = _compress(kept, turn)
         table = cut(table)
         removals.append(("link", cut(spliced)))
+        left, done = _finish(table)
+        finished.append(cut(done))
+        table = cut(left)
         turn += 1
     result = _solve(table)
+    for done in finished:
+        result = result.unionByName(done)
     if removals:
         result = cut(result)
     for kind, removed in reversed(removals):
