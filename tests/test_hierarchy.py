@@ -89,3 +89,13 @@ def test_more_roots_and_cycles_than_the_core_holds(spark, monkeypatch):
     links += [(f"p{i}", f"q{i}") for i in range(6)] + [(f"q{i}", f"p{i}") for i in range(6)]
     links += [(f"k{i:02d}", f"r{i:02d}") for i in range(10)] + [("l", "s03"), ("m", "l"), ("n", "q2"), ("o", "n")]
     check(spark, links, 8)
+
+
+def test_paths_and_descendants_from_cycles(spark):
+    links = [("a", None), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "y"), ("w", "z"), ("s", "s"), ("t", "s")]
+    tree = h.cut(h.hierarchy(spark.createDataFrame(links, "node string, parent string")))
+    paths = {r.node: r.path for r in h.full_paths(tree, from_cycles=True).collect()}
+    assert paths == {"a": ["a"], "b": ["a", "b"], "x": ["x"], "y": ["y"], "z": ["y", "z"], "w": ["y", "z", "w"], "s": ["s"], "t": ["s", "t"]}
+    pairs = sorted((r.node, r.descendant, r.distance) for r in h.descendant_pairs(tree, from_cycles=True).collect())
+    assert pairs == [("a", "b", 1), ("s", "t", 1), ("y", "w", 2), ("y", "z", 1), ("z", "w", 1)]
+    assert len(pairs) == tree.selectExpr("sum(leave - enter - 1)").first()[0]

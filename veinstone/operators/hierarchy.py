@@ -241,13 +241,15 @@ def descendants_of(tree: DataFrame, chosen: DataFrame) -> DataFrame:
     return tree.join(broadcast_if_small(tops), "tree").filter(inside).select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"))
 
 
-def full_paths(tree: DataFrame) -> DataFrame:
+def full_paths(tree: DataFrame, from_cycles: bool = False) -> DataFrame:
     """node, path: the nodes from the root down to the node, by doubling the known upper part in each round.
 
-    A path holds as many names as its depth; nodes on or below a cycle have none (null).
+    A path holds as many names as its depth. Nodes on or below a cycle have none (null), or with from_cycles
+    the path from the cycle node that they hang from.
     """
-    sound = tree.filter(F.col("depth") >= 0)
-    grown = cut(sound.select("node", F.array("node").alias("path"), F.when(F.col("depth") > 0, F.col("parent")).alias("above")))
+    sound = tree if from_cycles else tree.filter(F.col("depth") >= 0)
+    top = F.col("in_cycle") | (F.col("depth") == 0)
+    grown = cut(sound.select("node", F.array("node").alias("path"), F.when(~top, F.col("parent")).alias("above")))
     while grown.filter(F.col("above").isNotNull()).head(1):
         upper = grown.select(F.col("node").alias("above"), F.col("path").alias("upper"), F.col("above").alias("next"))
         done, open_ = grown.filter(F.col("above").isNull()), grown.filter(F.col("above").isNotNull())
@@ -255,7 +257,10 @@ def full_paths(tree: DataFrame) -> DataFrame:
     return tree.select("node").join(grown.select("node", "path"), "node", "left")
 
 
-def descendant_pairs(tree: DataFrame) -> DataFrame:
-    """node, descendant, distance for every node above another; as many rows as the depths add up to, none for cycles."""
-    steps = full_paths(tree).filter(F.size("path") > 1).select(F.col("node").alias("descendant"), (F.size("path") - 1).alias("depth"), F.posexplode("path").alias("at", "node"))
+def descendant_pairs(tree: DataFrame, from_cycles: bool = False) -> DataFrame:
+    """node, descendant, distance for every node above another; as many rows as the depths add up to.
+
+    With from_cycles also on and below cycles, which are cut at their nodes as in the intervals of hierarchy().
+    """
+    steps = full_paths(tree, from_cycles).filter(F.size("path") > 1).select(F.col("node").alias("descendant"), (F.size("path") - 1).alias("depth"), F.posexplode("path").alias("at", "node"))
     return steps.filter(F.col("at") < F.col("depth")).select("node", "descendant", (F.col("depth") - F.col("at")).alias("distance"))

@@ -89,6 +89,22 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("node").alias("function_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
+def _on_or_below_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return tree.cut(tree.hierarchy(call_links(spark, d)).filter("depth < 0"))
+
+
+def p5_cycle_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Path of every function on or below a cycle from the cycle's function it hangs from, for which p5_paths has null."""
+    paths = tree.full_paths(_on_or_below_cycles(spark, d), from_cycles=True)
+    return paths.select(F.col("node").alias("function_id"), F.array_join("path", " > ").alias("cycle_path"))
+
+
+def p5_cycle_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of the functions on and below cycles, with their distance, which p5_descendants leaves out."""
+    pairs = tree.descendant_pairs(_on_or_below_cycles(spark, d), from_cycles=True)
+    return pairs.select(F.col("node").alias("function_id"), F.col("descendant").alias("descendant_id"), "distance")
+
+
 def orphan_state(spark: SparkSession, d: str) -> DataFrame:
     """The orphan state after one step over the whole tables."""
     library = load(spark, d, "library_functions").select(canonical_id("function_id").alias("key")).filter("key is not null").distinct()
@@ -113,7 +129,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.counts(orphan_state(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p4_found, p4_values, p5_found, p5_paths, p5_descendants, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p4_found, p4_values, p5_found, p5_paths, p5_descendants, p5_cycle_paths, p5_cycle_descendants, p6_found, p6_counts)}
 
 
 def _canonical_sql(c: str) -> str:
