@@ -40,6 +40,11 @@ def test_mask_keeps_words_around_code():
     assert not is_filler("") and not is_filler("one two three")
 
 
+@pytest.mark.parametrize("text", ["blah, blah, blah", "text; text; text", "blah blah blah…", "(xx) xx – xx!", "Go on. Go on. Go on.", "lorem; ipsum; dolor; sit; amet; elit"])
+def test_repeated_words_and_sentences_with_any_signs(text):
+    assert is_filler(text)
+
+
 def test_names_seen_anywhere_decide_doubtful_slots(spark):
     rows = [
         (1, "Owner: {{ owner }}"), (2, "Written by $owner$ in April."), (3, "Set to __OWNER__ now."), (4, "Built in __init__ here."), (5, "«owner» needs it"), (6, None), (7, "  "), (8, ""),

@@ -147,6 +147,7 @@ _MENU_CUT = re.compile(r"\s{2,}|\s*[|›»·]\s*")
 _CHROME = re.compile(r"^(?:skip to (?:main )?content|back to top|powered by .{1,40}|print this page|return to .{1,30}|all rights reserved\.?|share|menu|home|search|sign in|log in|help|(?:status|code|incident|reference|error code|request id)[: ]+[0-9a-f-]+\.?)$", re.I)
 _TITLE = re.compile(r"^(?:#+\s*)?\S+ - [\w ]{1,30}$")
 _TAGS = re.compile(r"</?[A-Za-z!][^<>]*>")
+_WORD = re.compile(r"[^\W\d_]+")
 _RULE = re.compile(r"^[-=*_~#\s]*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\s+[-–—•]\s+")
 
@@ -199,21 +200,22 @@ def slots(masked: str) -> tuple[list[str], list[str], list[tuple[int, bool]]]:
 def is_filler(masked: str) -> bool:
     """True if a paragraph stands for content that was never written."""
     small = masked.lower()
-    latin = not _LATIN_MARKS.isdisjoint(small.replace(",", " ").replace(".", " ").split())
+    latin = not _LATIN_MARKS.isdisjoint(_WORD.findall(small))
     marked = any(x in small for x in _FILLER_MARKS)
     for paragraph in re.split(r"\n[ \t]*\n", masked):
         lines = [x.strip().strip("*#_> \t").rstrip(":") for x in paragraph.split("\n")]
         lines = [x for x in lines if x]
         if not lines:
             continue
-        ends = lines[0].split(None, 1)[0].lower(), lines[-1].rsplit(None, 1)[-1].lower().rstrip(".!")
-        if latin or ends[0].rstrip(".!") == ends[1]:
-            words = re.findall(r"[^\W\d_]+", paragraph.lower())
+        low = paragraph.lower()
+        first = _WORD.search(low)
+        if latin or (first is not None and low.count(first.group()) > 2):
+            words = _WORD.findall(low)
             if len(words) >= 6 and sum(w in LATIN for w in words) >= 0.75 * len(words):
                 return True
             if len(words) >= 3 and len(set(words)) == 1 and len(words[0]) > 1:
                 return True
-        if not marked and paragraph.count(lines[0][:8]) < 2 and (len(lines) == 1 or not _NUMBERED.match(lines[0])):
+        if not marked and paragraph.count(_SENTENCE.split(lines[0], maxsplit=1)[0].strip()) < 2 and (len(lines) == 1 or not _NUMBERED.match(lines[0])):
             continue
         sentences = [s.strip() for x in lines for s in _SENTENCE.split(x) if s.strip()]
         if len(sentences) >= 3 and len(set(sentences[:-1])) == 1:
