@@ -60,3 +60,12 @@ def test_names_seen_anywhere_decide_doubtful_slots(spark):
 def test_blanks_count_where_the_frame_has_values(spark):
     rows = [(1, "Dear {{ owner }}, the scan of ${PATH} has finished."), (2, "Dear , the scan of  has finished."), (3, "Some other words , with  gaps in them.")]
     assert {(r.doc_id, r.reason) for r in residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(1, "slot"), (2, "slot")}
+
+
+def test_error_pages_of_any_length_and_order(spark):
+    head = "<html><head><style>p { color: red }</style><script>" + "var a = 1 < 2; f(a);\n" * 200 + "</script></head><body>"
+    verbose = "Halden store\n" + "\n".join(f"Line {w} of the long apology of the operators of this store to all its readers, who wait." for w in "abcdefghijkl") + "\nService unavailable.\nRequest {}"
+    rows = [(1, head + "<h1>404 Not Found</h1></body></html>"), (2, "The valve list\nAn overview of this month.\nPlease enable JavaScript to read on."), *((i, verbose.format(i)) for i in range(10, 14))]
+    rows += [(20, verbose.format(1).replace("Service unavailable.", "It worked.") * 2), (21, "Rows come first.\n" + "\n".join(f"Word {w} of a guide about valves and their many owners." for w in "abcdefghijkl") + "\nAccess denied.")]
+    got = {(r.doc_id, r.reason) for r in residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, "page") for i in (1, 2, 10, 11, 12, 13)}

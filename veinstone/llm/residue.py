@@ -5,8 +5,9 @@ in template syntax, and blanks where a value should stand. Sentences with the sl
 Over the corpus, records of the same frame are aligned: the names that stand in certain template syntax
 anywhere are the variable names, and slots in doubtful syntax (which may also be markup, a dunder name or a
 quotation) count where they retain one of these names; a blank counts where other records of the frame have a
-value. Short pages are reduced to their sentences; a page is an error page if it opens with a notice, or if
-all its sentences stand on pages that do (repeated whole-page templates). Filler is found by paragraph.
+value. Pages are reduced to the sentences that a reader sees; a short page with a notice is an error page, one of
+any length if all its sentences stand on such pages, and a longer page with a notice if most of its sentences stand
+on several pages with a notice (repeated whole-page templates). Filler is found by paragraph.
 
 Defined results: null or blank texts are no cases; texts that repeat get the same verdict; a text of any
 length is read whole.
@@ -25,8 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from veinstone.session import broadcast_if_small, cut
 
-#: Most words of a page (without menus and titles) that may be an error page as a whole.
+#: Most words of a page (without tags, menus and titles) that a notice makes an error page by itself; of longer ones the corpus decides.
 PAGE_WORDS = 60
+#: Pages with a notice on which a sentence must stand to count as part of the template of longer pages.
+PAGE_REPEATS = 3
 #: Share of a sentence's pages that must be error pages for the sentence to count as part of their template.
 TEMPLATE_SHARE = 0.8
 
@@ -146,6 +149,7 @@ _TALK = re.compile(r"\b(?:because|when|whenever|although|unless|instead\ of|stil
 _MENU_CUT = re.compile(r"\s{2,}|\s*[|›»·]\s*")
 _CHROME = re.compile(r"^(?:skip to (?:main )?content|back to top|powered by .{1,40}|print this page|return to .{1,30}|all rights reserved\.?|share|menu|home|search|sign in|log in|help|(?:status|code|incident|reference|error code|request id)[: ]+[0-9a-f-]+\.?)$", re.I)
 _TITLE = re.compile(r"^(?:#+\s*)?\S+ - [\w ]{1,30}$")
+_UNSEEN = re.compile(r"<(script|style|svg|template)\b[^<>]*>.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAGS = re.compile(r"</?[A-Za-z!][^<>]*>")
 _WORD = re.compile(r"[^\W\d_]+")
 _RULE = re.compile(r"^[-=*_~#\s]*$")
@@ -233,11 +237,11 @@ def is_menu(line: str) -> bool:
     return len(entries) > 1 and all(1 <= len(e.split()) <= 2 for e in entries)
 
 
-def page_sentences(text: str) -> list[str] | None:
-    """Sentences of a short page without menus and titles; None if it is too long to be one notice."""
-    body = text.strip()
-    if len(body) > 20 * PAGE_WORDS + 400 or (len(body) > 6 * PAGE_WORDS and "<" not in body and len(body.split()) > 2 * PAGE_WORDS):
-        return None
+def page_sentences(text: str) -> list[str]:
+    """Sentences that a reader of the page sees, without menus and titles."""
+    body = text
+    if "<" in body:
+        body = html.unescape(_TAGS.sub("\n", _UNSEEN.sub("\n", body)))
     lines = [x.strip() for x in body.split("\n") if x.strip()]
     kept = [x for x in lines if not (_CHROME.match(x) or is_menu(x) or _RULE.match(x))]
     if len(kept) > 1 and _TITLE.match(kept[0]):
@@ -246,44 +250,41 @@ def page_sentences(text: str) -> list[str] | None:
     if joined.startswith("{") and joined.endswith("}"):
         try:
             answer = json.loads(joined)
-        except ValueError:
+        except (ValueError, RecursionError):
             answer = None
         if isinstance(answer, dict) and any(k.lower() in ("error", "errors", "error_code", "fault") for k in answer):
             return ["internal error"]
-    joined = html.unescape(_TAGS.sub("\n", joined)) if "<" in joined else joined
     sentences = [s.strip(" \t-*•·>#_:") for x in mask(joined).split("\n") for s in _SENTENCE.split(x.strip())]
-    sentences = [s for s in sentences if s and not _CHROME.match(s)]
-    if not sentences or sum(len(s.split()) for s in sentences) > PAGE_WORDS:
-        return None
-    return sentences
+    return [s for s in sentences if s and not _CHROME.match(s)]
 
 
 def is_notice(sentence: str) -> bool:
     return len(sentence) < 200 and NOTICE.search(sentence) is not None and _TALK.search(sentence) is None
 
 
-def examine(text: str) -> tuple[bool, bool, bool, list[str], list[str], list[int], list[int], list[int]]:
-    """certain slot, filler, notice, certain names, doubtful names, frames with value, blank frames, page sentences (hashes)."""
+def examine(text: str) -> tuple[bool, bool, bool, list[str], list[str], list[int], list[int], list[int], bool]:
+    """certain slot, filler, notice, certain names, doubtful names, frames with value, blank frames, page sentences (hashes), notice on a long page."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     masked = mask(text)
     certain, doubtful, frames = slots(masked)
     sentences = page_sentences(text)
-    notice = sentences is not None and any(is_notice(s) for s in sentences[:2])
-    hashes = sorted({_hash(re.sub(r"\d+|[0-9a-f]{8,}", "0", s.lower())) for s in sentences}) if sentences and len(sentences) <= 8 else []
+    told = any(is_notice(s) for s in sentences)
+    short = told and sum(len(s.split()) for s in sentences) <= PAGE_WORDS
+    hashes = sorted({_hash(re.sub(r"\d+|[0-9a-f]{8,}", "0", s.lower())) for s in sentences})
     return (
-        bool(certain), is_filler(masked), notice, sorted({c for c in certain if c}), sorted(set(doubtful)),
-        sorted({f for f, blank in frames if not blank}), sorted({f for f, blank in frames if blank}), hashes,
+        bool(certain), is_filler(masked), short, sorted({c for c in certain if c}), sorted(set(doubtful)),
+        sorted({f for f, blank in frames if not blank}), sorted({f for f, blank in frames if blank}), hashes, told and not short,
     )
 
 
-_EVIDENCE = "id long, slot boolean, filler boolean, notice boolean, names array<string>, doubtful array<string>, frames array<long>, blanks array<long>, page array<long>"
+_EVIDENCE = "id long, slot boolean, filler boolean, notice boolean, names array<string>, doubtful array<string>, frames array<long>, blanks array<long>, page array<long>, long_notice boolean"
 
 
 def residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, reason (``slot``, ``filler`` or ``page``): each text that holds residue, once per reason."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), *[pa.list_(pa.string())] * 2, *[pa.list_(pa.int64())] * 3]
+        types = [pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), *[pa.list_(pa.string())] * 2, *[pa.list_(pa.int64())] * 3, pa.bool_()]
         names = [x.split()[0] for x in _EVIDENCE.split(", ")]
         for batch in batches:
             rows = []
@@ -305,13 +306,16 @@ def residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     filled = seen.select(F.explode("frames").alias("frame")).distinct()
     blank = seen.select("id", F.explode("blanks").alias("frame")).join(filled, "frame", "left_semi").select("id", F.lit("slot").alias("reason"))
     # pages made of the sentences of notice pages alone
-    parts = seen.select("id", "notice", F.explode("page").alias("part"))
-    share = parts.groupBy("part").agg(F.avg(F.col("notice").cast("double")).alias("share"), F.count("*").alias("n")).filter((F.col("share") >= TEMPLATE_SHARE) & (F.col("n") > 1))
-    whole = (
-        parts.filter(~F.col("notice")).join(share.select("part", "share"), "part", "left").groupBy("id")
-        .agg(F.min(F.col("share").isNotNull()).alias("all_parts")).filter("all_parts").select("id", F.lit("page").alias("reason"))
-    )
-    every = sure.unionByName(named).unionByName(blank).unionByName(whole).distinct()
+    parts = seen.select("id", "notice", "long_notice", F.size("page").alias("of"), F.explode("page").alias("part"))
+    told = broadcast_if_small(parts.filter("notice").select("part").distinct())
+    share = parts.join(told, "part", "left_semi").groupBy("part").agg(F.avg(F.col("notice").cast("double")).alias("share"), F.count("*").alias("n"))
+    template = share.filter((F.col("share") >= TEMPLATE_SHARE) & (F.col("n") > 1)).select("part")
+    held = lambda which, known: parts.filter(which).join(broadcast_if_small(known), "part", "left_semi").groupBy("id", "of").agg(F.count("*").alias("n"))
+    whole = held("not notice", template).filter("n = of").select("id", F.lit("page").alias("reason"))
+    # long pages with a notice, most of whose sentences stand on other such pages too
+    repeated = parts.filter("notice or long_notice").groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGE_REPEATS).select("part")
+    long_ = held("long_notice", repeated).filter(F.col("n") >= TEMPLATE_SHARE * F.col("of")).select("id", F.lit("page").alias("reason"))
+    every = sure.unionByName(named).unionByName(blank).unionByName(whole).unionByName(long_).distinct()
     return every.select(F.col("id").alias(doc_id), "reason")
 
 
