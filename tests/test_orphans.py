@@ -48,3 +48,34 @@ def test_deletion_reopens_and_return_resolves(spark):
 
 def test_empty_inputs(spark):
     assert orphans.report(orphans.step(orphans.empty_state(spark), ref(spark, []))).count() == 0
+
+
+def test_history_fed_in_order_equals_the_whole(spark):
+    scans = {1: "ab", 2: "b", 4: "abd", 5: "d"}
+    day = lambda n: f"2024-0{n}-10"
+    rows = [(n, k, day(n)) for n, keys in scans.items() for k in keys] + [(3, None, day(3)), (None, "z", None), (5, "d", None)]
+    listing = spark.createDataFrame(rows, "n int, k string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    now = times(spark, [("d", "2024-03-01"), ("e", "2024-02-01"), ("e", None), ("f", None)])
+    refs = [(k, f"2024-0{m}-15") for k in "abdefq" for m in range(1, 7)] + [("a", None), ("d", None), (None, "2024-01-01")]
+    df = spark.createDataFrame(refs, "k string, t string").withColumn("t", F.col("t").cast("timestamp"))
+
+    def references(after, until):
+        t = F.col("t")
+        low = df if after is None else df.filter(t > after)
+        part = low if until is None else low.filter((t <= until) if after is not None else t.isNull() | (t <= until))
+        return [orphans.Reference(part, "calls", "callee", F.col("k"), t)]
+
+    expected = {(f"2024-0{m}", k): "deleted" for k in "ab" for m in range(1, 7)} | {(f"2024-0{m}", "q"): "missing" for m in range(1, 7)}
+    expected |= {("2024-01", "d"): "late", ("2024-02", "d"): "late", ("2024-01", "e"): "late", ("unknown", "a"): "deleted"}
+    for periods in (1, 2, 9):
+        steps = []
+        state = orphans.track(references, (listing, F.col("k"), "n", "t"), now, periods, lambda s, at: steps.append((str(at)[:10], kinds(s))))
+        assert kinds(state) == expected
+        assert len(steps) == min(periods, 5)
+        if periods == 9:
+            # after the first listing a and b are there; the second lacks a, the fourth has it again, the fifth lacks a and b
+            assert steps[0][0] == "2024-01-10" and steps[0][1] == {("unknown", "d"): "missing"}
+            assert steps[1][1][("2024-01", "a")] == "deleted" and ("2024-01", "b") not in steps[1][1]
+            assert steps[3][1][("2024-01", "a")] == "late" and steps[4][1][("2024-01", "b")] == "deleted"
+    gone = listing.limit(0)
+    assert {k for _, k in kinds(orphans.track(references, (gone, F.col("k"), "n", "t"), now))} == set("abdeq")

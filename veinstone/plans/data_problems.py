@@ -106,17 +106,25 @@ def p5_cycle_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orphan_state(spark: SparkSession, d: str) -> DataFrame:
-    """The orphan state after one step over the whole tables."""
+    """The orphan state after all scans, fed in order, and the artifacts as they are now as the last delivery."""
     library = load(spark, d, "library_functions").select(canonical_id("function_id").alias("key")).filter("key is not null").distinct()
-    references = []
-    for table, field in (("dependencies", "caller_id"), ("dependencies", "callee_id"), ("learning_history", "function_id")):
-        rows = load(spark, d, table).filter(F.col(field).isNotNull()).select(canonical_id(field).alias("key"), "created_at")
-        rows = rows.join(broadcast_if_small(library), "key", "left_anti")
-        references.append(orphans.Reference(rows, table, field, F.col("key"), F.col("created_at")))
+
+    def references(after: Column | None, until: Column | None) -> list[orphans.Reference]:
+        made = []
+        at = F.col("created_at")
+        for table, field in (("dependencies", "caller_id"), ("dependencies", "callee_id"), ("learning_history", "function_id")):
+            rows = load(spark, d, table).filter(F.col(field).isNotNull())
+            if after is not None:
+                rows = rows.filter(at > after)
+            if until is not None:
+                rows = rows.filter((at <= until) if after is not None else at.isNull() | (at <= until))
+            rows = rows.select(canonical_id(field).alias("key"), "created_at").join(broadcast_if_small(library), "key", "left_anti")
+            made.append(orphans.Reference(rows, table, field, F.col("key"), at))
+        return made
+
     artifacts, listings = load(spark, d, "artifacts"), load(spark, d, "artifact_snapshots")
-    return orphans.step(
-        None, references, parents=(artifacts, canonical_id("function_id"), F.col("created_at")), listings=(listings, canonical_id("function_id"))
-    )
+    key = canonical_id("function_id")
+    return orphans.track(references, (listings, key, "scan_no", "taken_at"), (artifacts, key, F.col("created_at")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

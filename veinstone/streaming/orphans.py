@@ -40,8 +40,7 @@ class StreamState:
         if number <= self.last():
             return
         refs = batch.filter("kind = 'reference'")
-        pairs = [(r.src_table, r.src_field) for r in refs.select("src_table", "src_field").distinct().collect()]  # the referring columns
-        references = [orphans.Reference(refs.filter((F.col("src_table") == t) & (F.col("src_field") == f)), t, f, F.col("key"), F.col("at")) for t, f in pairs]
+        references = [orphans.Reference(refs, F.col("src_table"), F.col("src_field"), F.col("key"), F.col("at"))]
         state = orphans.step(
             self.read(), references, parents=(batch.filter("kind = 'parent'"), F.col("key"), F.col("at")), deletions=(batch.filter("kind = 'deletion'"), F.col("key"), F.col("at"))
         )
