@@ -28,6 +28,21 @@ def test_local_search_empties_bins():
     assert sum(b.fill**2 for b in after) > squares and len(after) == 2
 
 
+def test_bins_of_many_small_items_exchange_pairs_too():
+    rng = random.Random(5)
+    for sizes in ([rng.randrange(1, 30) for _ in range(700)], [600] * 300, [rng.randrange(400, 700) for _ in range(300)]):
+        bins = packing.pack(sizes, 1000)
+        assert all(sum(sizes[i] for i in b) <= 1000 for b in bins) and sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    # a bin of 60 items gives two for one: only 7 + 8 for 5 fills the other
+    donor, taker = packing._Bin(), packing._Bin()
+    for i, size in enumerate([7, 8] + [20] * 58):
+        donor.add(size, i)
+    for i, size in enumerate([5] + [1985]):
+        taker.add(size, 100 + i)
+    after = packing.improve([donor, taker], 2000)
+    assert sorted(b.fill for b in after) == [1165, 2000]
+
+
 def test_frame(spark):
     rng = random.Random(2)
     rows = [(i, rng.randrange(0, 90)) for i in range(900)] + [(1000, 1234), (1001, None), (1002, 0), (1003, 100)]
@@ -56,6 +71,8 @@ def test_weights():
     targets = {s: mixing.Target(s, w, 2) for s, w in (("a", 0.2), ("b", 0.3), ("c", 0.5))}
     free, exponent = mixing.budgets({"a": 900, "b": 90, "c": 10}, targets)
     assert exponent == 1 and free["c"] == pytest.approx(20) and free["b"] == pytest.approx(12)
+    everything, exponent = mixing.budgets({"a": 900, "b": 90, "c": 10}, targets, total=10**6)
+    assert exponent == pytest.approx(0, abs=1e-6) and everything == {"a": 1800, "b": 180, "c": 20}
     forced, exponent = mixing.budgets({"a": 900, "b": 90, "c": 10}, targets, total=400)
     assert 0 < exponent < 1 and sum(forced.values()) == pytest.approx(400, rel=1e-3) and forced["c"] <= 20 + 1e-6
 
@@ -68,7 +85,7 @@ def test_mix(spark, blocks):
     rows += [(9000, "other", "q", 5), (9001, None, "r", 5), (9002, "big", "z", 0)]
     items = spark.createDataFrame(rows, "item_id long, source string, text_key string, n_tokens long").selectExpr("*", "1 as block", "2 as passes")
     targets = spark.createDataFrame([("big", 0.2, 1), ("Tiny One", 0.7, 2), ("absent", 0.1, 3)], "source string, target_weight double, max_repeats int")
-    made = mixing.mix(items, targets, blocks=blocks)
+    made = mixing.mix(items, targets, "most", blocks=blocks)
     shares = {r.source: r for r in made.shares.collect()}
     assert shares["tiny_one"].reached_share == pytest.approx(0.7 / 0.9, abs=0.005) and shares["big"].reached_share == pytest.approx(0.2 / 0.9, abs=0.005)
     assert shares["absent"].tokens == 0 and shares["tiny_one"].most_uses <= 2 and shares["big"].most_uses <= 1
@@ -79,7 +96,7 @@ def test_mix(spark, blocks):
         used[keys[u.item_id]] = used.get(keys[u.item_id], 0) + u.n_uses
     assert max(used.values()) <= 2
     assert mixing.mix(items.limit(0), targets).uses.count() == 0
-    large = mixing.mix(items, targets, "corpus", blocks=blocks)
+    large = mixing.mix(items, targets, blocks=blocks)
     assert 0 < large.exponent < 1 and {r.source: r.most_uses for r in large.shares.collect()} == {"big": 1, "tiny_one": 2, "absent": 0}
 
 

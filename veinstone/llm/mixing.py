@@ -1,11 +1,14 @@
 """Mixing sources to target weights by temperature, with capped repetition.
 
 Weights lie on the path from the sources' own token shares (exponent 0) to the targets (exponent 1): each
-share is multiplied by its ratio to the target raised to the exponent. For a given total the exponent is
-bisected to the largest one at which no source must repeat a text more often than it may; without a total
-the targets themselves are met at the largest total that allows it. The weights become budgets, and each
-budget is realised as whole passes over the source and a part of one more pass in the order of a hash
-permutation: whole blocks of it, and an exact prefix in the one block where the budget ends.
+source's own share is raised to one minus the exponent and multiplied by its target raised to the exponent.
+The total is a budget, by default as many tokens as the corpus has, and the exponent is bisected to the
+largest one at which no source must repeat a text more often than it may; the shares reached are reported
+beside the targets. ``most`` asks instead for the largest total at which the targets themselves are met;
+it too is bisected, by the same test. With an entropy to meet, ``exponent_for_entropy`` finds the plain
+temperature. The weights become budgets, and each budget is realised as whole passes over the source and a
+part of one more pass in the order of a hash permutation: whole blocks of it, and an exact prefix in the one
+block where the budget ends.
 
 Defined results: sources are compared in lower case, without outer blanks, with ``_`` for ``-`` and blanks;
 null and empty texts take no part; a text that occurs several times is one text (of its least id) and so
@@ -63,24 +66,30 @@ def path_weights(sizes: dict[str, int], targets: dict[str, Target], exponent: fl
     return {s: v / whole for s, v in raised.items()}
 
 
+def _bisect(holds, low: float, high: float, steps: int) -> float:
+    """The greatest value found between low, at which holds is true, and high."""
+    for _ in range(steps):
+        middle = (low + high) / 2
+        low, high = (middle, high) if holds(middle) else (low, middle)
+    return low
+
+
 def budgets(sizes: dict[str, int], targets: dict[str, Target], total: int | None = None, steps: int = 60) -> tuple[dict[str, float], float]:
-    """(tokens of each source, exponent)."""
+    """(tokens of each source, exponent) for a total; None for the largest total that meets the targets.
+
+    A total beyond all allowed repetitions together gives every source at its limit with the exponent 0.
+    """
     usable = {s: n for s, n in sizes.items() if s in targets and n > 0 and targets[s].weight > 0 and targets[s].max_repeats > 0}
     if not usable:
         return {}, 1.0
     most = {s: n * targets[s].max_repeats for s, n in usable.items()}
+    fits = lambda weights, tokens: all(w * tokens <= most[s] * (1 + 1e-12) for s, w in weights.items())
     wanted = path_weights(usable, targets, 1.0)
     if total is None:
-        reach = min(most[s] / wanted[s] for s in usable)
+        reach = _bisect(lambda t: fits(wanted, t), 0.0, float(sum(most.values())), steps + 40)
         return {s: w * reach for s, w in wanted.items()}, 1.0
-    fits = lambda e: all(w * total <= most[s] * (1 + 1e-12) for s, w in path_weights(usable, targets, e).items())
-    if fits(1.0):
-        return {s: w * total for s, w in wanted.items()}, 1.0
-    low, high = 0.0, 1.0
-    for _ in range(steps):
-        middle = (low + high) / 2
-        low, high = (middle, high) if fits(middle) else (low, middle)
-    return {s: min(w * total, most[s]) for s, w in path_weights(usable, targets, low).items()}, low
+    exponent = 1.0 if fits(wanted, total) else _bisect(lambda e: fits(path_weights(usable, targets, e), total), 0.0, 1.0, steps)
+    return {s: min(w * total, most[s]) for s, w in path_weights(usable, targets, exponent).items()}, exponent
 
 
 def source_name(c: Column | str) -> Column:
@@ -98,10 +107,11 @@ class Mixture:
     exponent: float
 
 
-def mix(items: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 0, blocks: int = BLOCKS) -> Mixture:
+def mix(items: DataFrame, targets: DataFrame, total: int | str = "corpus", seed: int = 0, blocks: int = BLOCKS) -> Mixture:
     """A mixture of items (item_id long, source string, text_key, n_tokens long) for targets (source, target_weight, max_repeats).
 
-    total: tokens of the mixture, ``corpus`` for as many as all texts have, None for the most that meets the targets.
+    total: tokens of the mixture, ``corpus`` for as many as all texts of sources with a target have (repeated texts
+    count once), ``most`` for the most that meets the targets.
     """
     spark = items.sparkSession
     rows = targets.select(source_name("source").alias("source"), "target_weight", "max_repeats").filter("source is not null").limit(MAX_SOURCES + 1).collect()
@@ -122,7 +132,7 @@ def mix(items: DataFrame, targets: DataFrame, total: int | str | None = None, se
     for r in per_block:
         sizes[r.source] = sizes.get(r.source, 0) + r.n
         by_source.setdefault(r.source, []).append((r.block, r.n))
-    plan, exponent = budgets(sizes, wanted, sum(sizes.values()) if total == "corpus" else total)
+    plan, exponent = budgets(sizes, wanted, sum(sizes.values()) if total == "corpus" else None if total == "most" else total)
     cuts = []  # source, whole passes, blocks before the last one, its number, tokens left for it
     for source, budget in plan.items():
         passes = min(int(budget // sizes[source]), wanted[source].max_repeats)

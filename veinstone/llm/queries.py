@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veinstone.functions.ids import canonical_id
 from veinstone.llm import docpairs, mixing, packing, provenance, residue, tokens
+from veinstone.session import broadcast_if_small
 from veinstone.sources.tables import current_rows, load
 
 
@@ -54,10 +55,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     packs = load(spark, d, "pack_sizes")
     bins = _packed(spark, d).groupBy("pack_name", "bin_id").agg(F.sum("size").alias("fill"))
     totals = bins.groupBy("pack_name").agg(F.count("*").alias("n_bins"), F.sum("fill").alias("n_tokens"), F.max("fill").alias("max_fill"))
-    return totals.join(F.broadcast(packs), "pack_name").withColumn("fill_share", F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")))
+    return totals.join(broadcast_if_small(packs), "pack_name").withColumn("fill_share", F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")))
 
 
-def _mixture(spark: SparkSession, d: str, total: str | None = None) -> mixing.Mixture:
+def _mixture(spark: SparkSession, d: str, total: str = "corpus") -> mixing.Mixture:
     documents = load(spark, d, "documents").filter("doc_id is not null and text is not null")
     keyed = documents.select("doc_id", "source", F.md5("text").alias("text_key"), "text")
     sized = tokens.with_tokens(keyed, "text", ["doc_id", "source", "text_key"]).withColumnRenamed("doc_id", "item_id")
@@ -65,19 +66,24 @@ def _mixture(spark: SparkSession, d: str, total: str | None = None) -> mixing.Mi
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of the mixture with how often each is used."""
+    """Documents of a mixture as large as the corpus, with how often each is used."""
     return _mixture(spark, d).uses.withColumnRenamed("item_id", "doc_id")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and reached share of each source."""
-    return _mixture(spark, d).shares
+    """Target and reached share of each source in it, and the exponent that the repetition limits allow."""
+    mixture = _mixture(spark, d)
+    return mixture.shares.withColumn("exponent", F.lit(round(mixture.exponent, 6)))
 
 
-def p8_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
-    """The same for a mixture as large as the corpus, tempered so far that no text repeats too often."""
-    mixture = _mixture(spark, d, "corpus")
-    return mixture.shares.withColumn("exponent", F.lit(round(mixture.exponent, 6)))
+def p8_exact_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the largest mixture that meets the targets, which the scarcest source bounds."""
+    return _mixture(spark, d, "most").uses.withColumnRenamed("item_id", "doc_id")
+
+
+def p8_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source in it."""
+    return _mixture(spark, d, "most").shares
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,5 +91,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(load(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_signs, p3_found, p3_pairs, p7_packs, p7_fill, p8_mix, p8_shares, p8_corpus_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_signs, p3_found, p3_pairs, p7_packs, p7_fill, p8_mix, p8_shares, p8_exact_mix, p8_exact_shares, p9_found)}
 SQL: dict[str, str] = {}
