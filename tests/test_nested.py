@@ -64,7 +64,7 @@ def brute(doc, single=()):
 def rebuild(rows):
     """The document from its rows, fields and links alone."""
     kids = {}
-    for label, path, parent, _, in_list, kind, fields in rows:
+    for label, path, parent, in_list, kind, fields in rows:
         if parent is not None:
             kids.setdefault(parent, []).append((label, path, in_list, kind, fields))
 
@@ -96,7 +96,7 @@ def rebuild(rows):
                     at = at[int(index)]
         return out
 
-    return fill("$", next(f for *_, path, parent, _i, _l, _k, f in rows if parent is None and path == "$"))
+    return fill("$", next(f for *_, path, parent, _l, _k, f in rows if parent is None and path == "$"))
 
 
 KEYS = st.sampled_from(["a", "b", "c", "lines", "é"])
@@ -108,10 +108,10 @@ VALUES = st.recursive(st.none() | st.booleans() | st.integers(-9, 9) | st.text("
 def test_round_trip(doc):
     parsed = parse_document(json.dumps(doc))
     own = relations(schema_edges(parsed, "root"), "root")
-    for tables in (own, None):
+    for tables in (own, own | {"a", "b", "c", "lines", "é"}):
         rows = list(shred_document(parsed, "root", tables))
         assert rebuild(rows) == doc
-        assert sorted((r[3], r[1]) for r in rows if r[4] and r[5] == "object") == brute(doc)
+        assert sorted(r[1] for r in rows if r[3] and r[4] == "object") == sorted(path for _, path in brute(doc))
     assert nested._parse_deep(json.dumps(doc)) == nested._parse(json.dumps(doc))
 
 
@@ -124,8 +124,7 @@ def test_rows_links_and_fields(spark):
     made = shred(df, "id", "body", "docs", ("invariants",))
     rows = made.nodes.collect()
     assert {r.doc_id for r in rows} == {"d"}
-    found = sorted((r.item_parent, r.node_path) for r in rows if r.in_list and r.kind == "object")
-    assert found == brute(doc, ("invariants",))
+    assert sorted((r.parent_path, r.node_path) for r in made.links().collect()) == brute(doc, ("invariants",))
     paths = {r.node_path for r in rows}
     assert all(r.parent_path in paths for r in rows if r.parent_path)
     top = next(r for r in rows if r.node_path == "$").fields
@@ -137,11 +136,41 @@ def test_rows_links_and_fields(spark):
     assert [(r.parent_path, r.name) for r in flat] == [("$", '"n"')]
 
 
-def test_beyond_the_bound_every_object_has_a_row(spark):
-    df = spark.createDataFrame([("d", '{"a": {"b": {"c": [{"x": 1}]}}}')], "id string, body string")
-    made = shred(df, "id", "body", max_edges=1)
-    assert made.own is None
-    assert {r.node_path: r.parent_path for r in made.nodes.collect()} == {"$": None, "$.a": "$", "$.a.b": "$.a", "$.a.b.c[0]": "$.a.b"}
+def test_beyond_the_bound_the_tables_are_the_same(spark):
+    docs = [("d", '{"a": {"b": {"c": [{"x": 1}]}}, "t": [1, [2]]}'), ("e", '{"b": {"y": 2}, "one": {"z": {"k": "v"}}}'), ("f", '{"a": {"w": 3}}'), ("g", "{}"), ("h", "no")]
+    df = spark.createDataFrame(docs, "id string, body string")
+    plain = lambda made: sorted((r.doc_id, r.table_name, r.node_path, str(r.parent_path), r.kind, sorted(r.fields.items())) for r in made.nodes.collect())
+    made, beyond = shred(df, "id", "body"), shred(df, "id", "body", max_edges=1)
+    assert made.own == {"document", "b", "c", "t"} and beyond.own is None
+    assert plain(made) == plain(beyond)
+
+
+def test_rows_come_from_the_tables_and_their_foreign_keys():
+    doc = parse_document('{"a": [{"b": {"c": [{"x": 1}]}}], "d": {"c": [2]}}')
+    own = relations(schema_edges(doc, "root"), "root")
+    assert own == {"root", "a", "c"}
+    rows = {r[1]: r for r in shred_document(doc, "root", own)}
+    assert rows["$.a[0].b.c[0]"][2] == "$.a[0]" and "$.a[0].b" not in rows
+    shared = {r[1]: r for r in shred_document(doc, "root", own | {"b"})}
+    assert shared["$.a[0].b.c[0]"][2] == "$.a[0].b" and shared["$.a[0].b"][2] == "$.a[0]"
+    inlined = {r[1]: r for r in shred_document(doc, "root", own - {"c"})}
+    assert set(inlined) == {"$", "$.a[0]"} and inlined["$.a[0]"][5]["b.c[0].x"] == "1"
+
+
+def test_names_with_signs_of_the_notation(spark, tmp_path):
+    doc = {"a.b": 1, "a": {"b": 2}, "x[0]": {"v": 1}, "x": [{"v": 2}], 'q"]': [{"w": {"": [{"u": 1}]}}], "": {"z": 3}}
+    df = spark.createDataFrame([("d", json.dumps(doc))], "id string, body string")
+    made = shred(df, "id", "body", "docs")
+    rows = made.nodes.collect()
+    top = next(r for r in rows if r.node_path == "$").fields
+    assert top['"a.b"'] == "1" and top["a.b"] == "2" and top['"x[0\\u005d".v'] == "1"
+    assert next(r for r in rows if r.node_path == '$.""').table_name == '""'
+    assert len({r.node_path for r in rows}) == len(rows)
+    links = {r.node_path: r.parent_path for r in made.links().collect()}
+    item = '$."q\\"\\u005d"[0]'
+    assert links == {"$.x[0]": "$", item: "$", f'{item}.w.""[0]': item}
+    again = made.write(str(tmp_path / "tables"))
+    assert {(r.table_name, r.node_path) for r in again.collect()} == {(r.table_name, r.node_path) for r in rows}
 
 
 def test_empty_table(spark):

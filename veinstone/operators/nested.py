@@ -4,7 +4,11 @@ The schema graph has one node per element name; an edge runs from the enclosing
 element of an object below it and is starred where the object stands in a list. Elements that repeat, are
 shared by several parents or recursive (which makes them shared) get a table of their own, all other
 objects are inlined as dotted columns of the nearest enclosing table. Every row knows its own path and
-that of its parent row, which is the foreign key.
+that of its parent row, which is the foreign key. The elements with a table are sent to the tasks while the
+schema graph is small; of a graph that isn't, each document is joined with the ones of its own elements.
+
+Names stand in paths, columns and table names as they are, in double quotes as in JSON if they hold a sign of the notation
+(``.``, ``[``, ``]``, ``"``) or nothing, so ``{"a.b": 1, "a": {"b": 2}}`` has the columns ``"a.b"`` and ``a.b``.
 
 Defined results: a document that is null, unreadable, not strict JSON (NaN, trailing text) or no object
 gives no row; a JSON string that holds such an object is read as that object; with a repeated key the last
@@ -15,21 +19,22 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from veinstone.session import cut
+
 
-#: Above so many different edges the schema graph isn't sent to the tasks; every object then gets a row of its own.
+#: Above so many different edges the elements with a table aren't sent to the tasks whole, but to each document its own.
 MAX_EDGES = 200_000
 
-NODE_SCHEMA = (
-    "doc_id string, table_name string, node_path string, parent_path string, item_parent string,"
-    " in_list boolean, kind string, fields map<string,string>"
-)
+_SALTS = 32
+NODE_SCHEMA = "doc_id string, table_name string, node_path string, parent_path string, in_list boolean, kind string, fields map<string,string>"
 
 
 class Number(str):
@@ -41,6 +46,7 @@ def _no_constant(name: str) -> None:
 
 
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?", re.ASCII)
+_SIGNS = re.compile(r'[.\[\]"]')
 _SPACE = re.compile(r"[ \t\n\r]*")
 
 
@@ -144,7 +150,7 @@ def _top(doc: dict, single_as_list: Iterable[str]) -> dict:
 
 
 def schema_edges(doc: dict, root: str) -> set[tuple[str, str, bool]]:
-    """(parent element, element, in a list) of every object below the document."""
+    """(parent element, element, in a list) of every object and list that isn't empty below the document."""
     edges: set[tuple[str, str, bool]] = set()
     todo: list[tuple[object, str, str, bool]] = [(doc, root, root, False)]
     while todo:
@@ -154,6 +160,8 @@ def schema_edges(doc: dict, root: str) -> set[tuple[str, str, bool]]:
                 edges.add((owner, label, starred))
             todo.extend((v, label, k, False) for k, v in value.items() if isinstance(v, (dict, list)))
         else:
+            if value:
+                edges.add((owner, label, True))
             todo.extend((v, owner, label, True) for v in value if isinstance(v, (dict, list)))
     return edges
 
@@ -168,48 +176,45 @@ def relations(edges: Iterable[tuple[str, str, bool]], root: str) -> set[str]:
     return own | {child for child, above in parents.items() if len(above) > 1 or child in above}
 
 
-def shred_document(doc: dict, root: str, own: set[str] | None, with_fields: bool = True) -> Iterator[tuple]:
-    """Rows of one document as in NODE_SCHEMA without doc_id; own None: every object has a row.
+@lru_cache(maxsize=65_536)
+def step_name(name: str) -> str:
+    """A name as a step of a path or column; a closing bracket in it is spelled \\u005d, so that one in a path ends an index."""
+    return name if name and not _SIGNS.search(name) else json.dumps(name, ensure_ascii=False).replace("]", "\\u005d")
+
+
+def shred_document(doc: dict, root: str, own: Container[str], with_fields: bool = True) -> Iterator[tuple]:
+    """Rows of one document as in NODE_SCHEMA without doc_id: one for every object whose element is in own.
 
     kind is ``object`` or, for what isn't an object in a list, ``value`` (its text is the field ``value``).
+    Objects in lists of an element that isn't in own are inlined under their index, like any other.
     """
-    # todo: value, label, path, row's parent path, nearest enclosing list item, in a list, fields to fill, prefix
     root_fields: dict[str, str] = {}
-    rows: list[tuple] = [(root, "$", None, None, False, "object", root_fields)]
-    todo: list[tuple] = [(doc, root, "$", "$", "$", root_fields, "")]
+    rows: list[tuple] = [(root, "$", None, False, "object", root_fields)]
+    looked_at = lambda v: with_fields or isinstance(v, (dict, list))
+    # todo: value, label, path, path of the row that it belongs to, in a list, fields to fill, column
+    todo: list[tuple] = [(v, k, f"$.{step_name(k)}", "$", False, root_fields, step_name(k)) for k, v in doc.items() if looked_at(v)]
     while todo:
-        obj, label, path, row_path, item_path, fields, prefix = todo.pop()
-        for key, value in obj.items():
-            name, here = prefix + key, f"{path}.{key}"
-            if isinstance(value, dict):
-                if with_fields:
-                    fields[name] = "{}"
-                if own is None or key in own:
-                    mine: dict[str, str] = {}
-                    rows.append((key, here, row_path, item_path, False, "object", mine))
-                    todo.append((value, key, here, here, item_path, mine, ""))
-                else:
-                    todo.append((value, key, here, row_path, item_path, fields, name + "."))
-            elif isinstance(value, list):
-                if with_fields:
-                    fields[name] = "[]"
-                lists = [(value, here)]
-                while lists:
-                    items, at = lists.pop()
-                    for i, item in enumerate(items):
-                        there = f"{at}[{i}]"
-                        if isinstance(item, dict):
-                            mine = {}
-                            rows.append((key, there, row_path, item_path, True, "object", mine))
-                            todo.append((item, key, there, there, there, mine, ""))
-                        elif isinstance(item, list):
-                            if with_fields:
-                                rows.append((key, there, row_path, item_path, True, "value", {"value": "[]"}))
-                            lists.append((item, there))
-                        elif with_fields:
-                            rows.append((key, there, row_path, item_path, True, "value", {"value": _scalar(item)}))
+        value, label, path, row, in_list, fields, column = todo.pop()
+        table = label in own
+        if isinstance(value, dict):
+            if with_fields and not (in_list and table):
+                fields[column] = "{}"
+            if table:
+                fields, column = {}, ""
+                rows.append((step_name(label), path, row, in_list, "object", fields))
+                row = path
+            todo.extend((v, k, f"{path}.{step_name(k)}", row, False, fields, f"{column}.{step_name(k)}" if column else step_name(k)) for k, v in value.items() if looked_at(v))
+        elif isinstance(value, list):
+            if with_fields and not (in_list and table):
+                fields[column] = "[]"
             elif with_fields:
-                fields[name] = _scalar(value)
+                rows.append((step_name(label), path, row, True, "value", {"value": "[]"}))
+            todo.extend((v, label, f"{path}[{i}]", row, True, fields, f"{column}[{i}]") for i, v in enumerate(value) if looked_at(v))
+        elif with_fields:
+            if in_list and table:
+                rows.append((step_name(label), path, row, True, "value", {"value": _scalar(value)}))
+            else:
+                fields[column] = _scalar(value)
     yield from rows
 
 
@@ -222,7 +227,7 @@ def _clean(text: str | None) -> str | None:
 
 @dataclass(frozen=True)
 class Shredded:
-    """nodes: a row per table row of any element (NODE_SCHEMA). own: elements with a table, None if all have one."""
+    """nodes: a row per table row of any element (NODE_SCHEMA). own: elements with a table, None if they are too many to list."""
 
     nodes: DataFrame
     own: frozenset[str] | None
@@ -234,6 +239,21 @@ class Shredded:
             "doc_id", "node_path", "parent_path", *[F.col("fields").getItem(c).alias(c) for c in columns]
         )
 
+    def write(self, path: str) -> DataFrame:
+        """nodes written once, a folder for each table, and read back; a table is then a read of its own folder."""
+        self.nodes.write.mode("overwrite").partitionBy("table_name").parquet(path)
+        return self.nodes.sparkSession.read.schema(NODE_SCHEMA).parquet(path)
+
+    def links(self) -> DataFrame:
+        """doc_id, parent_path, node_path of every row that is an item of a list; the parent is the nearest enclosing item, else ``$``.
+
+        The foreign key leads to the row above; where that is no item itself, its path down to its last index names the item.
+        """
+        items = self.nodes.filter("in_list and kind = 'object'")
+        below = F.length(F.substring_index("parent_path", "]", -1))
+        above = F.when(F.contains("parent_path", F.lit("]")), F.left("parent_path", F.length("parent_path") - below)).otherwise("$")
+        return items.select("doc_id", above.alias("parent_path"), "node_path")
+
     def columns_of(self) -> DataFrame:
         """table_name, column_name of every flat column seen."""
         return self.nodes.select("table_name", F.explode(F.map_keys("fields")).alias("column_name")).distinct()
@@ -251,8 +271,9 @@ def shred(
     """Shared inlining of the documents of df, in two passes: the schema graph, then the rows.
 
     single_as_list: keys of the document under which a single object stands for a list of one.
-    with_fields False gives the links alone (fields stay empty, values in lists have no row). The edges of the
-    schema graph are counted before they are sent to the tasks; beyond max_edges every object has its own row.
+    with_fields False gives the links alone (fields stay empty, values in lists have no row).
+    The edges of the schema graph are counted before they are sent to the tasks; beyond max_edges the elements with
+    a table are found by an aggregation, and each document is joined with the ones among its own elements.
     """
     source = df.select(
         (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").alias("doc_id"),
@@ -274,10 +295,12 @@ def shred(
     edges = source.select("document").mapInArrow(edges_of, "parent string, child string, starred boolean").distinct()
     kept = edges.limit(max_edges + 1).collect()
     own = frozenset(relations([(e.parent, e.child, e.starred) for e in kept], root)) if len(kept) <= max_edges else None
+    if own is None:
+        source = _with_own_elements(source, cut(edges), root, single_as_list)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "table_name", "node_path", "parent_path", "item_parent", "in_list", "kind", "fields"]
-        types = [*[pa.string()] * 5, pa.bool_(), pa.string(), pa.map_(pa.string(), pa.string())]
+        names = ["doc_id", "table_name", "node_path", "parent_path", "in_list", "kind", "fields"]
+        types = [*[pa.string()] * 4, pa.bool_(), pa.string(), pa.map_(pa.string(), pa.string())]
         for batch in batches:
             columns: list[list] = [[] for _ in names]
 
@@ -287,11 +310,13 @@ def shred(
                     c.clear()
                 return out
 
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("document").to_pylist()):
+            listed = batch.column("own").to_pylist() if own is None else None
+            for i, (key, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("document").to_pylist())):
                 if (doc := parse_document(text)) is None:
                     continue
-                for label, path, parent, item, in_list, kind, fields in shred_document(_top(doc, single_as_list), root, own, with_fields):
-                    for c, v in zip(columns, (key, _clean(label), _clean(path), _clean(parent), _clean(item), in_list, kind, [(_clean(k), _clean(v)) for k, v in fields.items()])):
+                tables = own if listed is None else frozenset(listed[i] or ())
+                for label, path, parent, in_list, kind, fields in shred_document(_top(doc, single_as_list), root, tables, with_fields):
+                    for c, v in zip(columns, (key, _clean(label), _clean(path), _clean(parent), in_list, kind, [(_clean(k), _clean(v)) for k, v in fields.items()])):
                         c.append(v)
                 if len(columns[0]) >= 20_000:
                     yield flush()
@@ -301,4 +326,27 @@ def shred(
     return Shredded(source.mapInArrow(rows_of, NODE_SCHEMA), own, root)
 
 
+def _with_own_elements(source: DataFrame, edges: DataFrame, root: str, single_as_list: tuple[str, ...]) -> DataFrame:
+    """source with own: the elements of each document that have a table, for schema graphs of any size."""
+    several = F.bool_or("starred") | (F.min("parent") != F.max("parent")) | F.bool_or(F.col("parent") == F.col("child"))
+    tables = edges.groupBy("child").agg(several.alias("own")).filter("own").select("child")
+
+    def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, names = [], []
+            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("document").to_pylist()):
+                if (doc := parse_document(text)) is not None:
+                    mine = {_clean(child) for _, child, _ in schema_edges(_top(doc, single_as_list), root)}
+                    ids += [key] * len(mine)
+                    names += sorted(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.string())], names=["doc_id", "child"])
+
+    # a hot element is in many documents: salted by the document
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))
+    held = source.mapInArrow(names_of, "doc_id string, child string").withColumn("salt", salt)
+    spread = tables.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    mine = held.join(spread, ["child", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_set("child").alias("own"))
+    return source.join(mine, "doc_id", "left")
+
+
 __all__ = ["Shredded", "parse_document", "relations", "schema_edges", "shred", "shred_document"]

@@ -17,9 +17,8 @@ def _shredded(spark: SparkSession, d: str, with_fields: bool) -> nested.Shredded
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Objects in lists of the current contracts with their parents."""
-    nodes = _shredded(spark, d, with_fields=False).nodes
-    return nodes.filter("in_list and kind = 'object'").select(F.col("doc_id").alias("function_id"), F.col("item_parent").alias("parent_path"), "node_path")
+    """The rows of the tables of repeated elements, with the item that their foreign key leads to."""
+    return _shredded(spark, d, with_fields=False).links().withColumnRenamed("doc_id", "function_id")
 
 
 def p1_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -220,8 +219,31 @@ SELECT n.function_id, coalesce(arg_max(a.p, length(a.p)), '$') AS parent_path, n
 FROM objects n LEFT JOIN objects a ON a.function_id = n.function_id AND starts_with(n.p, a.p || '.') GROUP BY n.function_id, n.p
 """
 
+# labels are the names without indexes; a label has a table if it repeats, has several parents or is its own parent
+_P1_TABLES_SQL = _P1_SQL[: _P1_SQL.index("items AS (")] + r"""
+nodes AS (
+  SELECT t.function_id, t.kind, CASE WHEN s.top IS NULL THEN t.p ELSE s.top || '[0]' || substr(t.p, length(s.top) + 1) END AS p
+  FROM tree t LEFT JOIN single s ON s.function_id = t.function_id AND (t.p = s.top OR starts_with(t.p, s.top || '.'))
+  UNION ALL SELECT function_id, 'ARRAY', top FROM single),
+named AS (
+  SELECT *, ends_with(p, ']') AS in_list, regexp_extract(p, '([^.\[]+)(\[\d+\])*$', 1) AS label,
+    regexp_extract(regexp_replace(p, '\.[^.\[]+(\[\d+\])*$', ''), '([^.\[]+)(\[\d+\])*$', 1) AS above FROM nodes),
+own AS (
+  SELECT label FROM named WHERE p <> '$' AND (kind = 'OBJECT' OR in_list) GROUP BY label
+  HAVING bool_or(in_list) OR count(DISTINCT above) > 1 OR bool_or(above = label)),
+rows_ AS (SELECT function_id, p, CASE WHEN p = '$' THEN 'contracts' ELSE label END AS table_name FROM named WHERE kind = 'OBJECT' AND (p = '$' OR label IN (FROM own))),
+fields AS (
+  SELECT n.function_id, n.p, max(length(r.p)) AS n_row FROM named n JOIN rows_ r ON r.function_id = n.function_id AND starts_with(n.p, r.p || '.')
+  WHERE n.p <> '$' AND NOT n.in_list GROUP BY ALL),
+filled AS (SELECT r.table_name, r.function_id, r.p, substr(f.p, n_row + 2) AS column_name FROM fields f JOIN rows_ r ON r.function_id = f.function_id AND r.p = left(f.p, n_row))
+SELECT table_name, column_name, count(*) AS n_rows FROM (
+  SELECT r.table_name, f.column_name FROM rows_ r LEFT JOIN filled f ON f.function_id = r.function_id AND f.p = r.p
+  UNION ALL SELECT label, 'value' FROM named WHERE in_list AND kind <> 'OBJECT') GROUP BY ALL
+"""
+
 SQL: dict[str, str] = {
     "p1_found": _P1_SQL,
+    "p1_tables": _P1_TABLES_SQL,
     "p4_found": f"SELECT src_table, scan_no, function_id, change_type FROM ({_P4_SQL})",
     "p4_values": f"SELECT scan_no, function_id, change_type, old_value, new_value FROM ({_P4_SQL}) WHERE src_table = 'artifacts'",
     "p5_descendants": f"""
