@@ -1,13 +1,19 @@
 """Template residue, filler and error pages in a corpus of texts.
 
-One pass over the texts masks code and quoted words, cuts sentences and finds candidate slots: expressions
-in template syntax, and blanks where a value should stand. Sentences with the slots taken out are frames.
-Over the corpus, records of the same frame are aligned: the names that stand in certain template syntax
-anywhere are the variable names, and slots in doubtful syntax (which may also be markup, a dunder name or a
-quotation) count where they retain one of these names; a blank counts where other records of the frame have a
-value. Pages are reduced to the sentences that a reader sees; a short page with a notice is an error page, one of
-any length if all its sentences stand on such pages, and a longer page with a notice if most of its sentences stand
-on several pages with a notice (repeated whole-page templates). Filler is found by paragraph.
+Slots are induced by alignment. One pass over the texts masks code and quoted words, cuts sentences and finds
+what may stand in a slot: expressions in delimiters, default values, and blanks where a value should be. Each
+has a frame: the words beside it up to the next such place. Over the corpus, the records of a frame are
+aligned: a frame that holds different expressions in different records has a slot, one that always holds the
+same (``from <stdin> if``) hasn't. Frames that expressions alone don't decide are looked up in all texts once
+more (a string automaton over their left words, in blocks of bounded size), which gives the values that other
+records hold there. From the slots come the names of variables and the styles of delimiters, which decide
+frames that stand alone. A slot counts where it keeps a variable, a default where other records keep a variable
+too, a blank where others have different values and never none.
+
+Pages are reduced to the sentences that a reader sees. Sentences that repeat on pages with a notice, and hardly
+elsewhere, are templates of error pages; a page made of them, or of a notice and mostly of them, is one. What
+repeats nowhere is decided by the fixed patterns alone and named so (``slot_pattern``, ``page_pattern``).
+Filler is found by paragraph.
 
 Defined results: null or blank texts are no cases; texts that repeat get the same verdict; a text of any
 length is read whole.
@@ -20,6 +26,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -28,10 +35,18 @@ from veinstone.session import broadcast_if_small, cut
 
 #: Most words of a page (without tags, menus and titles) that a notice makes an error page by itself; of longer ones the corpus decides.
 PAGE_WORDS = 60
-#: Pages with a notice on which a sentence must stand to count as part of the template of longer pages.
-PAGE_REPEATS = 3
-#: Share of a sentence's pages that must be error pages for the sentence to count as part of their template.
+#: Pages with a notice on which a sentence must stand to be part of a template.
+PAGE_REPEATS = 2
+#: Share of a sentence's pages that must have a notice, and of a page's sentences that must be part of templates.
 TEMPLATE_SHARE = 0.8
+#: Words on each side that make a frame; most characters of a value that other records hold in it.
+FRAME_WORDS, VALUE_CHARS = 2, 60
+#: Different values that other records must hold where a blank counts.
+BLANK_VALUES = 3
+#: Share of a style's expressions, among those in frames with several, that must stand in slots for it to decide frames that stand alone.
+STYLE_SHARE = 0.8
+#: Frames that one pass looks up; more are looked up in blocks of so many.
+FRAME_BLOCK = 200_000
 
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _TICKS = re.compile(r"(`+)(?!`)((?:(?!\n\s*\n).)+?)(?<!`)\1(?!`)", re.S)
@@ -60,7 +75,7 @@ CERTAIN = re.compile(
     """,
     re.X | re.I,
 )
-# Syntax that may mean something else; it counts with a name seen in certain syntax.
+# Syntax that may mean something else; only slots over the corpus make it count.
 DOUBTFUL = re.compile(
     r"""
     \$(?P<a>[A-Za-z]\w*)\$
@@ -70,13 +85,16 @@ DOUBTFUL = re.compile(
   | \[\[\s*(?P<e>[\w -]{1,60}?)\s*\]\]
   | \{(?P<f>[A-Za-z][\w -]{0,60})\}
   | \((?:enter|insert|fill\ in)\s+(?P<g>[\w -]{1,60}?)\)
-  | <(?P<h>[A-Za-z][\w -]{0,60})>
+  | <(?<![\w<]<)(?P<h>[A-Za-z][\w -]{0,60})>
   | \*\*\*(?<!\*\*\*\*)(?P<i>[\w -]{1,60}?)\*\*\*(?!\*)
     """,
     re.X,
 )
 _BLANK = re.compile(r"(?<=[A-Za-z])  +(?=[a-z(])|(?<=[A-Za-z]) (?=[,.;](?:\s|$))|\(\s*\)")
 
+# Values that stand for none.
+_DEFAULT = re.compile(r"(?<![\w./-])(?:undefined|null|NaN|N/A|n/a|TBD|TBA|XXX+|\?\?\?+|YYYY-MM-DD|MM/DD/YYYY|DD\.MM\.YYYY)(?![\w/-])")
+
 # The vocabulary of Latin filler.
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore"
@@ -145,7 +163,7 @@ NOTICE = re.compile(
     re.X | re.I,
 )
 #: Prose about such pages: reasons and conditions that a notice doesn't give.
-_TALK = re.compile(r"\b(?:because|when|whenever|although|unless|instead\ of|still\ works?|callers?|our\ own|the\ test|the\ worker|contract\ lists?)\b", re.I | re.X)
+_TALK = re.compile(r"\b(?:because|when|whenever|although|unless|instead\ of|still\ works?)\b", re.I | re.X)
 _MENU_CUT = re.compile(r"\s{2,}|\s*[|›»·]\s*")
 _CHROME = re.compile(r"^(?:skip to (?:main )?content|back to top|powered by .{1,40}|print this page|return to .{1,30}|all rights reserved\.?|share|menu|home|search|sign in|log in|help|(?:status|code|incident|reference|error code|request id)[: ]+[0-9a-f-]+\.?)$", re.I)
 _TITLE = re.compile(r"^(?:#+\s*)?\S+ - [\w ]{1,30}$")
@@ -172,10 +190,31 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def slots(masked: str) -> tuple[list[str], list[str], list[tuple[int, bool]]]:
-    """Names in certain syntax ('' if it has none), names in doubtful syntax, (frame, is blank) of each slot."""
-    certain, doubtful, frames = [], [], []
-    starts = [m.start() for r in (CERTAIN, DOUBTFUL) for m in r.finditer(masked)]
+_DIGITS = str.maketrans({d: "0" for d in "123456789"})
+
+
+def _style(found: re.Match) -> str:
+    """The expression without its name."""
+    name = next((i for i, v in enumerate(found.groups(), 1) if v), None)
+    text = found.group() if name is None else found.string[found.start() : found.start(name)] + "\0" + found.string[found.end(name) : found.end()]
+    return " ".join(text.lower().translate(_DIGITS).split())
+
+
+def _spans(sentence: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, name, style) of what may stand in a slot, in order; kind is ``certain``, ``doubtful``, ``default`` or ``blank``."""
+    found: list[tuple[int, int, str, str, str]] = []
+    free = lambda m: all(m.end() <= f[0] or m.start() >= f[1] for f in found)
+    for kind, pattern in (("certain", CERTAIN), ("doubtful", DOUBTFUL)):
+        found += [(m.start(), m.end(), kind, _name(m), _style(m)) for m in pattern.finditer(sentence) if free(m)]
+    found += [(m.start(), m.end(), "default", "", "") for m in _DEFAULT.finditer(sentence) if free(m)]
+    found += [(m.start(), m.end(), "blank", "", "") for m in _BLANK.finditer(sentence) if free(m)]
+    return sorted(found)
+
+
+def slots(masked: str) -> list[tuple[str, str, str, str, str, int]]:
+    """(left, right, kind, name, style, value) of each place that may be a slot; left and right are the words of its frame."""
+    out: list[tuple[str, str, str, str, str, int]] = []
+    starts = [m.start() for r in (CERTAIN, DOUBTFUL, _DEFAULT) for m in r.finditer(masked)]
     if any(x in masked for x in ("  ", " .", " ,", " ;", "(")):
         starts += [m.start() for m in _BLANK.finditer(masked)]
     done = -1
@@ -186,19 +225,31 @@ def slots(masked: str) -> tuple[list[str], list[str], list[tuple[int, bool]]]:
         done = masked.find("\n", at)
         done = len(masked) if done < 0 else done
         for sentence in _SENTENCE.split(masked[first:done]):
-            if len(sentence) < 3:
-                continue
-            sure = [_name(m) for m in CERTAIN.finditer(sentence)]
-            certain += sure
-            rest = CERTAIN.sub("\0", sentence) if sure else sentence
-            maybe = [_name(m) for m in DOUBTFUL.finditer(rest)]
-            doubtful += maybe
-            blank = _BLANK.search(rest) is not None and "§" not in rest
-            if sure or blank:
-                frame = re.sub(r"\s+", " ", re.sub(r"\0", " \0 ", _BLANK.sub(" \0 ", rest) if blank else rest)).strip().lower()
-                if len(frame) > 8:
-                    frames.append((_hash(re.sub(r"\s*\0\s*", "\0", re.sub(r"\d+", "0", frame))), not sure))
-    return certain, doubtful, frames
+            spans = _spans(sentence) if len(sentence) > 2 else []
+            for i, (start, end, kind, name, style) in enumerate(spans):
+                left = sentence[spans[i - 1][1] if i else 0 : start].lower().translate(_DIGITS).split()[-FRAME_WORDS:]
+                right = sentence[end : spans[i + 1][0] if i + 1 < len(spans) else len(sentence)].lower().translate(_DIGITS).split()[:FRAME_WORDS]
+                if kind == "blank" and (not left or not right or "§" in left or "§" in right):
+                    continue
+                out.append((" ".join(left), " ".join(right), kind, name, style, _hash(sentence[start:end].lower()) if kind != "blank" else 0))
+    return out
+
+
+def fillings(masked: str, lefts, rights: dict[str, list[str]]) -> set[tuple[str, str, int]]:
+    """(left, right, value) of what stands in frames: lefts is an automaton of their left words; the value is 0 where nothing stands between."""
+    text = _BLANK.sub(" \1 ", masked) if any(x in masked for x in ("  ", " .", " ,", " ;", "(")) else masked
+    text = f" {' '.join(text.lower().translate(_DIGITS).split())} "
+    out: set[tuple[str, str, int]] = set()
+    for end, left in lefts.iter(text):
+        window = text[end + 1 : end + 1 + VALUE_CHARS + 2]
+        for right in rights[left]:
+            reach = window.find(right) if right else -1
+            value = window[:reach].strip() if reach >= 0 else ""
+            if reach == 0:
+                out.add((left, right, 0))
+            elif value and "\1" not in value and ". " not in value and not CERTAIN.search(value) and not DOUBTFUL.search(value):
+                out.add((left, right, _hash(value) or 1))
+    return out
 
 
 def is_filler(masked: str) -> bool:
@@ -262,61 +313,133 @@ def is_notice(sentence: str) -> bool:
     return len(sentence) < 200 and NOTICE.search(sentence) is not None and _TALK.search(sentence) is None
 
 
-def examine(text: str) -> tuple[bool, bool, bool, list[str], list[str], list[int], list[int], list[int], bool]:
-    """certain slot, filler, notice, certain names, doubtful names, frames with value, blank frames, page sentences (hashes), notice on a long page."""
+def examine(text: str) -> tuple[bool, bool, bool, list[int], list[int], list[tuple]]:
+    """filler, notice on a short page, notice at all, page sentences and those that are notices (hashes), places of slots."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     masked = mask(text)
-    certain, doubtful, frames = slots(masked)
     sentences = page_sentences(text)
-    told = any(is_notice(s) for s in sentences)
-    short = told and sum(len(s.split()) for s in sentences) <= PAGE_WORDS
-    hashes = sorted({_hash(re.sub(r"\d+|[0-9a-f]{8,}", "0", s.lower())) for s in sentences})
-    return (
-        bool(certain), is_filler(masked), short, sorted({c for c in certain if c}), sorted(set(doubtful)),
-        sorted({f for f, blank in frames if not blank}), sorted({f for f, blank in frames if blank}), hashes, told and not short,
-    )
-
-
-_EVIDENCE = "id long, slot boolean, filler boolean, notice boolean, names array<string>, doubtful array<string>, frames array<long>, blanks array<long>, page array<long>, long_notice boolean"
+    key = lambda s: _hash(re.sub(r"\d+|[0-9a-f]{8,}", "0", s.lower()))
+    notices = sorted({key(s) for s in sentences if is_notice(s)})
+    short = bool(notices) and sum(len(s.split()) for s in sentences) <= PAGE_WORDS
+    return is_filler(masked), short, bool(notices), sorted({key(s) for s in sentences}), notices, slots(masked)
+
+
+_PLACE = "left string, right string, kind string, name string, style string, value long"
+_EVIDENCE = f"id long, filler boolean, short boolean, told boolean, page array<long>, notices array<long>, places array<struct<{_PLACE.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def _looked_up(texts: DataFrame, frames: DataFrame) -> DataFrame:
+    """left, right, n_values, n_empty: how many different values the texts hold in each frame, and how many texts nothing."""
+    n = frames.count()
+    blocks = max(1, -(-n // FRAME_BLOCK))
+    parts = []
+    for block in range(blocks):
+        mine = frames if blocks == 1 else frames.filter(F.pmod(F.xxhash64("left"), F.lit(blocks)) == block)
+        rights: dict[str, list[str]] = {}
+        for r in mine.toLocalIterator():  # about FRAME_BLOCK frames of a few words
+            rights.setdefault(f" {r.left} ", []).append(r.right)
+
+        def run(batches: Iterator[pa.RecordBatch], rights: dict[str, list[str]] = rights) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            lefts = ahocorasick.Automaton()
+            for left in rights:
+                lefts.add_word(left, left)
+            lefts.make_automaton()
+            for batch in batches:
+                rows: list[tuple[str, str, int]] = []
+                empty: dict[tuple[str, str], int] = {}
+                seen: set[tuple[str, str, int]] = set()
+                for value in batch.column(0).to_pylist() if rights else ():
+                    for left, right, held in fillings(mask(value.replace("\r\n", "\n").replace("\r", "\n")), lefts, rights):
+                        if held:
+                            seen.add((left.strip(), right, held))
+                        else:
+                            empty[left.strip(), right] = empty.get((left.strip(), right), 0) + 1
+                rows = [(*s, 0) for s in seen] + [(*k, 0, n) for k, n in empty.items()]
+                columns = list(zip(*rows)) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["left", "right", "value", "n"])
+
+        parts.append(texts.select("body").mapInArrow(run, "left string, right string, value long, n long"))
+    every = reduce(DataFrame.unionByName, parts).groupBy("left", "right", "value").agg(F.sum("n").alias("n"))
+    return every.groupBy("left", "right").agg(F.count_if(F.col("value") != 0).alias("n_values"), F.sum("n").alias("n_empty"))
 
 
 def residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, reason (``slot``, ``filler`` or ``page``): each text that holds residue, once per reason."""
+    """doc_id, reason: each text that holds residue, once per reason.
+
+    ``slot`` and ``page`` come from alignment over the corpus, ``filler`` from paragraphs, and ``slot_pattern``
+    and ``page_pattern`` from fixed patterns alone, where nothing in the corpus is like the record.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), *[pa.list_(pa.string())] * 2, *[pa.list_(pa.int64())] * 3, pa.bool_()]
-        names = [x.split()[0] for x in _EVIDENCE.split(", ")]
+        place = pa.struct([(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.string()) for c in _PLACE.split(", ")])
+        types = [pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(place)]
+        names = ["id", "filler", "short", "told", "page", "notices", "places"]
+        keys = [c.split()[0] for c in _PLACE.split(", ")]
         for batch in batches:
-            rows = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = examine(value)
-                if any(found):
-                    rows.append((key, *found))
+            rows = [(key, *examine(value)) for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             columns = list(zip(*rows)) if rows else [()] * len(names)
+            columns[-1] = [[dict(zip(keys, p)) for p in places] for places in columns[-1]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body")).filter(F.col("id").isNotNull() & (F.trim("body") != ""))
     seen = cut(texts.mapInArrow(run, _EVIDENCE))
-    sure = seen.select("id", F.explode(F.array(F.when(F.col("slot"), F.lit("slot")), F.when(F.col("filler"), F.lit("filler")), F.when(F.col("notice"), F.lit("page")))).alias("reason")).filter("reason is not null")
-    # variable names: what stands in certain syntax anywhere
-    variables = seen.select(F.explode("names").alias("name")).distinct()
-    doubtful = seen.filter(~F.col("slot")).select("id", F.explode("doubtful").alias("name"))
-    named = doubtful.join(broadcast_if_small(variables), "name", "left_semi").select("id", F.lit("slot").alias("reason"))
-    # blanks in frames where other records hold a value
-    filled = seen.select(F.explode("frames").alias("frame")).distinct()
-    blank = seen.select("id", F.explode("blanks").alias("frame")).join(filled, "frame", "left_semi").select("id", F.lit("slot").alias("reason"))
-    # pages made of the sentences of notice pages alone
-    parts = seen.select("id", "notice", "long_notice", F.size("page").alias("of"), F.explode("page").alias("part"))
-    told = broadcast_if_small(parts.filter("notice").select("part").distinct())
-    share = parts.join(told, "part", "left_semi").groupBy("part").agg(F.avg(F.col("notice").cast("double")).alias("share"), F.count("*").alias("n"))
-    template = share.filter((F.col("share") >= TEMPLATE_SHARE) & (F.col("n") > 1)).select("part")
-    held = lambda which, known: parts.filter(which).join(broadcast_if_small(known), "part", "left_semi").groupBy("id", "of").agg(F.count("*").alias("n"))
-    whole = held("not notice", template).filter("n = of").select("id", F.lit("page").alias("reason"))
-    # long pages with a notice, most of whose sentences stand on other such pages too
-    repeated = parts.filter("notice or long_notice").groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGE_REPEATS).select("part")
-    long_ = held("long_notice", repeated).filter(F.col("n") >= TEMPLATE_SHARE * F.col("of")).select("id", F.lit("page").alias("reason"))
-    every = sure.unionByName(named).unionByName(blank).unionByName(whole).unionByName(long_).distinct()
-    return every.select(F.col("id").alias(doc_id), "reason")
+    found = [seen.filter("filler").select("id", F.lit("filler").alias("reason")), *_slot_rows(texts, seen), *_page_rows(seen)]
+    return reduce(DataFrame.unionByName, found).distinct().select(F.col("id").alias(doc_id), "reason")
+
+
+def _slot_rows(texts: DataFrame, seen: DataFrame) -> list[DataFrame]:
+    """id, reason of the places that are slots which keep a variable, a default or a blank."""
+    places = seen.select("id", F.explode("places").alias("p")).select("id", "p.*")
+    marked = F.col("kind").isin("certain", "doubtful")
+    frames = cut(places.groupBy("left", "right").agg(
+        F.min(F.when(marked, F.col("value"))).alias("low"), F.max(F.when(marked, F.col("value"))).alias("high"), F.count_if(~marked).alias("n_other"),
+        F.count_if(F.col("kind") == "certain").alias("n_certain"), F.count_if(marked).alias("n"),
+    ))
+    varied = F.coalesce(F.col("low") != F.col("high"), F.lit(False))
+    framed = (F.col("left") != "") & (F.col("right") != "")
+    # frames that the expressions alone don't decide
+    values = _looked_up(texts, frames.filter(framed & ((F.col("n_other") > 0) | (~varied & (F.col("n_certain") > 0)))).select("left", "right"))
+    known = cut(frames.join(values, ["left", "right"], "left").select(
+        "left", "right", (varied & ((F.col("left") != "") | (F.col("right") != ""))).alias("varied"), F.col("low").isNotNull().alias("kept"), (F.col("n") > 1).alias("several"),
+        F.coalesce("n_values", F.lit(0)).alias("n_values"), F.coalesce("n_empty", F.lit(0)).alias("n_empty"),
+    ))
+    # a hot frame is in a third of all records: its row goes to every salt
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    judged = cut(places.withColumn("salt", F.pmod("id", F.lit(16))).join(broadcast_if_small(salted), ["left", "right", "salt"]).drop("salt"))
+    slot = F.col("varied") | (F.col("n_values") > 0)
+    # styles and names that stand in slots
+    by_style = judged.filter(marked & F.col("several")).groupBy("style").agg(F.avg(F.col("varied").cast("double")).alias("share"), F.count_distinct("name").alias("n_names"))
+    styles = by_style.filter((F.col("share") >= STYLE_SHARE) & (F.col("n_names") > 1)).select("style")
+    names = judged.filter((F.col("kind") == "certain") & (F.col("name") != "")).select("name").distinct()
+    certain, doubtful = judged.filter("kind = 'certain'"), judged.filter("kind = 'doubtful'").join(broadcast_if_small(names), "name", "left_semi")
+    alone = certain.filter(~slot)
+    aligned = [
+        certain.filter(slot), alone.join(broadcast_if_small(styles), "style", "left_semi"), doubtful.filter("varied"), doubtful.filter("not varied").join(broadcast_if_small(styles), "style", "left_semi"),
+        judged.filter("kind = 'default' and kept and n_values > 0"),
+        judged.filter(f"kind = 'blank' and n_empty = 0 and (n_values >= {BLANK_VALUES} or kept)"),
+    ]
+    sure = reduce(DataFrame.unionByName, [a.select("id") for a in aligned]).withColumn("reason", F.lit("slot"))
+    return [sure, alone.join(broadcast_if_small(styles), "style", "left_anti").select("id", F.lit("slot_pattern").alias("reason"))]
+
+
+def _page_rows(seen: DataFrame) -> list[DataFrame]:
+    """id, reason of the pages that are made of what repeats on pages with a notice, and of those with a notice alone."""
+    pages = seen.select("id", "short", "told", F.size("page").alias("of"), "page", "notices")
+    parts = pages.select("id", "short", "told", "of", F.explode("page").alias("part"))
+    # only sentences that stand on a page with a notice can be part of a template; combined in the tasks before the shuffle
+    told = broadcast_if_small(parts.filter("told").select("part").distinct())
+    share = parts.join(told, "part", "left_semi").groupBy("part").agg(
+        F.avg(F.col("short").cast("double")).alias("share"), F.avg(F.col("told").cast("double")).alias("told_share"), F.count("*").alias("n"), F.count_if("told").alias("n_told")
+    )
+    short_part, any_part = (F.col("share") >= TEMPLATE_SHARE) & (F.col("n") >= PAGE_REPEATS), (F.col("told_share") >= TEMPLATE_SHARE) & (F.col("n_told") > PAGE_REPEATS)
+    known = cut(share.select("part", short_part.alias("of_short"), any_part.alias("of_any"), ((F.col("share") < 1 - TEMPLATE_SHARE) & (F.col("n") > PAGE_REPEATS)).alias("talk")))
+    held = parts.join(broadcast_if_small(known), "part").groupBy("id", "short", "told", "of").agg(F.count_if("of_short").alias("n_short"), F.count_if(F.col("of_short") | F.col("of_any")).alias("n_any"))
+    template = held.filter((F.col("n_short") == F.col("of")) | (F.col("told") & (F.col("n_any") >= TEMPLATE_SHARE * F.col("of")))).select("id", F.lit("page").alias("reason"))
+    # a notice that mostly stands in longer texts without being their page is talk about such pages
+    lone = pages.filter("short").select("id", F.explode("notices").alias("part")).join(broadcast_if_small(known.filter("talk")), "part", "left_anti")
+    return [template, lone.select("id").distinct().join(template.select("id"), "id", "left_anti").select("id", F.lit("page_pattern").alias("reason"))]
 
 
 def without_residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
