@@ -80,3 +80,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def join_spread(rows: DataFrame, small: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+    """rows joined with small (one row per key) on key, where one key may hold a large part of all rows.
+
+    A small side within the limit is broadcast. Else the rows of a key are divided by the hash of the column by, and
+    small is first given to those (key, salt) that occur: at most salts rows of it per key, none that isn't needed.
+    """
+    from pyspark.sql import functions as F
+
+    if estimated_bytes(small) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), key)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    return salted.join(salted.select(key, "__salt").distinct().join(small, key), [key, "__salt"]).drop("__salt")
