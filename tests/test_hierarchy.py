@@ -99,3 +99,33 @@ def test_paths_and_descendants_from_cycles(spark):
     pairs = sorted((r.node, r.descendant, r.distance) for r in h.descendant_pairs(tree, from_cycles=True).collect())
     assert pairs == [("a", "b", 1), ("s", "t", 1), ("y", "w", 2), ("y", "z", 1), ("z", "w", 1)]
     assert len(pairs) == tree.selectExpr("sum(leave - enter - 1)").first()[0]
+
+
+def test_many_of_each_shape_above_the_bound_equal_the_unbounded_run(spark, monkeypatch):
+    monkeypatch.setattr("veinstone.session.BROADCAST_BYTES", -1)  # joins are spread, not broadcast
+    links = [(f"r{i:02d}", None) for i in range(50)] + [(f"k{i:02d}", f"r{i:02d}") for i in range(50)]
+    links += [(f"s{i:02d}", f"s{i:02d}") for i in range(50)] + [(f"{a}{i:02d}", f"{b}{i:02d}") for i in range(50) for a, b in ("pq", "qp")]
+    links += [("hub", None)] + [(f"l{i:03d}", "hub") for i in range(150)] + [(f"c{i:02d}", f"c{i - 1:02d}" if i else None) for i in range(50)]
+    df = spark.createDataFrame(links, "node string, parent string")
+    plain = lambda t: sorted((r.node, r.root, r.depth, r.in_cycle, r.leave - r.enter) for r in t.collect())
+    bounded = plain(h.hierarchy(df, 8))
+    assert bounded == plain(h.hierarchy(df))
+    assert {(n, (root, depth)) for n, root, depth, *_ in bounded} == set(brute(links).items())
+
+
+def test_nodes_whose_hashes_collide(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"n{i // 2}" if i else None) for i in range(60)], "node string, parent string")
+    for bits in (64, 7):
+        rows = h.with_hashed_ids(nodes, bits).collect()
+        ids = {r.node: r.id for r in rows}
+        assert len(set(ids.values())) == 60 and all(r.parent_id == (ids[r.parent] if r.parent else None) for r in rows)
+
+
+def test_descendants_by_blocks_of_intervals(spark):
+    links = random_links(11, 120)
+    tree = h.cut(h.hierarchy(spark.createDataFrame(links, "node string, parent string")))
+    rows = tree.collect()
+    expected = {(a.node, b.node) for a in rows for b in rows if a.tree == b.tree and a.enter < b.enter < a.leave}
+    got = h.descendants_of(tree, tree.select("node")).collect()
+    assert len(got) == len(expected) and {(r.node, r.descendant) for r in got} == expected
+    assert h.descendants_of(tree, tree.select("node").limit(0)).count() == 0

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from veinstone.session import broadcast_if_small, cut
+from veinstone.session import broadcast_if_small, cut, join_spread
 
 #: Nodes that one task may hold (below 200 MB with all arrays of the tour).
 CORE_NODES = 1_000_000
@@ -119,12 +119,13 @@ def _rake(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     in_salt = Window.partitionBy("parent", "salt").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     totals = leaves.groupBy("parent", "salt").agg(F.sum(block).alias("total"))
     before = Window.partitionBy("parent").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0))).drop("total")
-    sums = leaves.groupBy("parent").agg(F.sum(block).alias("more")).withColumnRenamed("parent", "id")
+    # one row per parent and salt carries what the leaves need of their parent, so the many leaves of one parent meet it in as many parts
+    own = table.select(F.col("id").alias("parent"), F.col("own").alias("parent_own"))
+    starts = totals.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0))).drop("total").join(own, "parent")
+    sums = totals.groupBy("parent").agg(F.sum("total").alias("more")).withColumnRenamed("parent", "id")
     removed = (
         leaves.withColumn("inside", F.coalesce(F.sum(block).over(in_salt), F.lit(0)))
         .join(starts, ["parent", "salt"])
-        .join(table.select(F.col("id").alias("parent"), F.col("own").alias("parent_own")), "parent")
         .select("id", F.col("parent").alias("via"), "w", (F.col("parent_own") + F.col("start") + F.col("inside") + F.col("pre")).alias("offset"), "own")
     )
     kept = (
@@ -191,7 +192,7 @@ def forest(links: DataFrame, core_nodes: int = CORE_NODES) -> DataFrame:
         result = cut(result)
     for kind, removed in reversed(removals):
         via = result.select(F.col("id").alias("via"), "tree", "cycle", "depth", "enter", F.col("leave").alias("via_leave"))
-        joined = removed.join(via, "via")
+        joined = join_spread(removed, via, "via", "id") if kind == "leaf" else removed.join(via, "via")
         if kind == "leaf":
             added = joined.select("id", "tree", "cycle", (F.col("depth") + F.col("w")).alias("depth"), (F.col("enter") + F.col("offset")).alias("enter"), (F.col("enter") + F.col("offset") + F.col("own")).alias("leave"))
         else:
@@ -205,13 +206,32 @@ def forest(links: DataFrame, core_nodes: int = CORE_NODES) -> DataFrame:
     return result
 
 
-def with_hashed_ids(nodes: DataFrame) -> DataFrame:
-    """nodes (node, parent) with id and parent_id: 64-bit hashes, with a seed for which no two nodes share one."""
-    for seed in range(8):
-        hashed = nodes.withColumns({"id": F.xxhash64(F.lit(seed), "node"), "parent_id": F.when(F.col("parent").isNotNull(), F.xxhash64(F.lit(seed), "parent"))})
-        if not hashed.groupBy("id").count().filter("count > 1").head(1):
+def with_hashed_ids(nodes: DataFrame, bits: int = 64) -> DataFrame:
+    """nodes (node, parent, no node twice) with id and parent_id: 64-bit hashes, and others for the few nodes whose hash is taken.
+
+    Of the nodes with one hash the least keeps it, the others get the next seed's, and so on until all differ. bits
+    takes fewer bits of the hashes, so that tests meet collisions.
+    """
+    take = lambda seed, c: F.shiftright(F.xxhash64(seed, F.col(c)), 64 - bits)
+    moved: DataFrame | None = None  # node, seed of the nodes that don't have the first hash
+    seed = 0
+    while True:
+        hashed = nodes
+        for column, name in (("id", "node"), ("parent_id", "parent")):
+            if moved is None:
+                hashed = hashed.withColumn(column, take(F.lit(0), name))
+            else:
+                seeds = moved.select(F.col("node").alias(name), F.col("seed").alias("__seed"))
+                hashed = hashed.join(broadcast_if_small(seeds), name, "left").withColumn(column, take(F.coalesce("__seed", F.lit(0)), name)).drop("__seed")
+        hashed = hashed.withColumn("parent_id", F.when(F.col("parent").isNotNull(), F.col("parent_id")))
+        taken = hashed.groupBy("id").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").select("id", "least")
+        if not taken.head(1):
             return hashed
-    raise RuntimeError("no seed without a collision")
+        seed += 1
+        again = hashed.join(taken, "id").filter(F.col("node") != F.col("least")).select("node", F.lit(seed).alias("seed"))
+        if moved is not None:
+            again = again.unionByName(moved.join(again.select("node"), "node", "left_anti"))
+        moved = cut(again)
 
 
 def hierarchy(links: DataFrame, core_nodes: int = CORE_NODES) -> DataFrame:
@@ -228,33 +248,63 @@ def hierarchy(links: DataFrame, core_nodes: int = CORE_NODES) -> DataFrame:
     rows = cut(nodes.drop("parent_id").join(found, "id").withColumn("top", F.coalesce("cycle", "tree")))
     in_cycle = F.col("cycle").isNotNull() & (F.col("id") == F.col("tree"))
     tops = rows.filter(in_cycle | (F.col("cycle").isNull() & (F.col("id") == F.col("tree")))).groupBy("top").agg(F.min("node").alias("root"))
-    return rows.join(broadcast_if_small(tops), "top").select(
+    return join_spread(rows, tops, "top", "id").select(
         "node", "parent", "root", F.when(F.col("cycle").isNotNull(), -1).otherwise(F.col("depth")).cast("int").alias("depth"), in_cycle.alias("in_cycle"), "tree", "enter", "leave"
     )
 
 
 def descendants_of(tree: DataFrame, chosen: DataFrame) -> DataFrame:
-    """node, descendant for the nodes of chosen (column node), from the intervals of hierarchy(); cycles are cut at their nodes."""
-    tops = tree.join(broadcast_if_small(chosen.select("node").distinct()), "node", "left_semi")
-    tops = tops.select(F.col("node").alias("ancestor"), "tree", F.col("enter").alias("low"), F.col("leave").alias("high"))
-    inside = (F.col("enter") > F.col("low")) & (F.col("enter") < F.col("high"))
-    return tree.join(broadcast_if_small(tops), "tree").filter(inside).select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"))
+    """node, descendant for the nodes of chosen (column node), from the intervals of hierarchy(); cycles are cut at their nodes.
+
+    Each interval is cut into blocks of 2, 4, 8 ... positions, at most two of a width; a node meets the blocks that
+    hold its position by equality, so that nothing but the pairs themselves is made, however large a tree is.
+    """
+    tops = join_spread(tree, chosen.select("node").distinct(), "node", "enter")
+    tops = tops.filter("leave > enter + 1").select(F.col("node").alias("ancestor"), "tree", (F.col("enter") + 1).alias("low"), F.col("leave").alias("high"))
+    cover = tops.select("ancestor", "tree", F.explode(F.expr(_BLOCKS)).alias("b")).select("ancestor", "tree", "b.width", "b.block")
+    widths = [r.width for r in cover.select("width").distinct().collect()]  # at most 63
+    if not widths:
+        return tops.select(F.col("ancestor").alias("node"), F.col("ancestor").alias("descendant")).limit(0)
+    own = F.array(*[F.struct(F.lit(w).alias("width"), F.shiftright("enter", w).alias("block")) for w in sorted(widths)])
+    inside = tree.select(F.col("node").alias("descendant"), "tree", F.explode(own).alias("b")).select("descendant", "tree", "b.width", "b.block")
+    return cover.join(inside, ["tree", "width", "block"]).select(F.col("ancestor").alias("node"), "descendant")
+
+
+#: The dyadic blocks (exponent of the width, number) that make up [low, high): from the left and from the right of each width.
+_BLOCKS = """
+filter(flatten(transform(sequence(0, 62), w -> array(
+  if(shiftright(low + shiftleft(1L, w) - 1, w) < shiftright(high, w) and shiftright(low + shiftleft(1L, w) - 1, w) % 2 = 1,
+     named_struct('width', w, 'block', shiftright(low + shiftleft(1L, w) - 1, w)), null),
+  if(shiftright(low + shiftleft(1L, w) - 1, w) < shiftright(high, w) and shiftright(high, w) % 2 = 1,
+     named_struct('width', w, 'block', shiftright(high, w) - 1), null)))), b -> b is not null)
+"""
 
 
 def full_paths(tree: DataFrame, from_cycles: bool = False) -> DataFrame:
-    """node, path: the nodes from the root down to the node, by doubling the known upper part in each round.
+    """node, path: the nodes from the root down to the node, by doubling the known lower part in each round.
 
     A path holds as many names as its depth. Nodes on or below a cycle have none (null), or with from_cycles
-    the path from the cycle node that they hang from.
+    the path from the cycle node that they hang from. A round looks up the upper parts of the paths still open and
+    carries these alone; what is finished stays where it was written.
     """
     sound = tree if from_cycles else tree.filter(F.col("depth") >= 0)
     top = F.col("in_cycle") | (F.col("depth") == 0)
-    grown = cut(sound.select("node", F.array("node").alias("path"), F.when(~top, F.col("parent")).alias("above")))
-    while grown.filter(F.col("above").isNotNull()).head(1):
-        upper = grown.select(F.col("node").alias("above"), F.col("path").alias("upper"), F.col("above").alias("next"))
-        done, open_ = grown.filter(F.col("above").isNull()), grown.filter(F.col("above").isNotNull())
-        grown = cut(done.unionByName(open_.join(upper, "above").select("node", F.concat("upper", "path").alias("path"), F.col("next").alias("above"))))
-    return tree.select("node").join(grown.select("node", "path"), "node", "left")
+    open_ = cut(sound.select("node", F.array("node").alias("path"), F.when(~top, F.col("parent")).alias("above")))
+    done: list[DataFrame] = []
+    while True:
+        done.append(open_.filter(F.col("above").isNull()).select("node", "path"))
+        rest = open_.filter(F.col("above").isNotNull())
+        if not rest.head(1):
+            break
+        known = rest.select("node", "path", "above")
+        for part in done:
+            known = known.unionByName(part.withColumn("above", F.lit(None).cast("string")))
+        upper = known.select(F.col("node").alias("above"), F.col("path").alias("upper"), F.col("above").alias("next"))
+        open_ = cut(join_spread(rest, upper, "above", "node").select("node", F.concat("upper", "path").alias("path"), F.col("next").alias("above")))
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    return whole if from_cycles else whole.unionByName(tree.filter(F.col("depth") < 0).select("node", F.lit(None).cast("array<string>").alias("path")))
 
 
 def descendant_pairs(tree: DataFrame, from_cycles: bool = False) -> DataFrame:
