@@ -85,7 +85,7 @@ def test_overlaps_against_brute_force(spark):
     left = [(rng.choice("ab"), i, a := rng.randrange(500), a + rng.randrange(-3, 200)) for i in range(80)] + [(None, 99, 1, 2), ("a", 98, None, 5)]
     right = [(rng.choice("ab"), i, a := rng.randrange(500), a + rng.randrange(0, 90)) for i in range(80)]
     expected = sorted((l[1], r[1]) for l in left for r in right if l[0] == r[0] and None not in l and l[2] <= l[3] and l[2] <= r[3] and l[3] >= r[2])
-    got = intervals.overlap_join(spark.createDataFrame(left, "k string, i int, s int, e int"), spark.createDataFrame(right, "k string, j int, s2 int, e2 int"), "k", ("s", "e"), ("s2", "e2"), 16)
+    got = intervals.overlap_join(spark.createDataFrame(left, "k string, i int, s int, e int"), spark.createDataFrame(right, "k string, j int, s2 int, e2 int"), "k", ("s", "e"), ("s2", "e2"))
     assert values(got, "i", "j") == expected
 
 
@@ -200,3 +200,22 @@ def test_contract_problems(spark):
     assert places == {"function_signature", "intent_summary", "invariants.0.name", "invariants.0.logic", "invariants.0.criticality", "invariants.0.on_fail", "invariants.1", "io_examples.0.input", "io_examples.0.output", "io_examples.1"}
     df = spark.createDataFrame([("a", good), ("b", "{"), (None, None)], "k string, j string")
     assert values(contracts.validate(df, F.col("k"), F.col("j")).filter("key = 'b'"), "code") == [("INVALID_JSON",)]
+
+
+def test_ranges_of_any_length_cost_a_few_rows(spark):
+    left = spark.createDataFrame([("k", 1, 0, 2_000_000_000), ("k", 2, 70, 80), ("k", 3, 5, 4), (None, 4, 1, 9), ("k", 5, None, 9)], "k string, i int, s int, e int")
+    right = spark.createDataFrame([("k", 1, 80, 900), ("k", 2, 1_999_999_999, 2_000_000_000), ("k", 3, 81, 82)], "k string, j int, s2 int, e2 int")
+    got = sorted((r.i, r.j) for r in intervals.overlap_join(left, right, "k", ("s", "e"), ("s2", "e2")).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    assert intervals.overlap_join(left.limit(0), right, "k", ("s", "e"), ("s2", "e2")).count() == 0
+
+
+def test_adjusted_scores_and_rates(spark):
+    scores = spark.createDataFrame([("a", 90), ("b", 10), ("c", 50)], "k string, base int")
+    findings = spark.createDataFrame([("a", 15, True), ("a", 8, True), ("a", 3, False), ("b", 15, True), (None, 3, True)], "k string, w int, o boolean")
+    got = {r.k: (r.penalty, r.adjusted, r.n_open) for r in stats.adjusted(scores, findings, "k", "base", F.col("w"), F.col("o")).collect()}
+    assert got == {"a": (23, 67, 2), "b": (10, 0, 1), "c": (0, 50, 0)}
+    none = spark.createDataFrame([(0, 0, 0, 0, 0, 0)], "total long, n_verified long, n_needs_review long, n_pending long, n_stale long, n_broken long")
+    row = stats.rates(none).first()
+    assert (row.completion_rate, row.success_rate, row.actionable) == (0.0, 0.0, 0)
+    assert [round(r.s, 2) for r in spark.createDataFrame([(0.5,), (85.0,), (None,)], "v float").select(stats.unit_score("v").alias("s")).collect() if r.s is not None] == [0.5, 0.85]

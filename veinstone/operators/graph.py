@@ -55,20 +55,22 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(keys.withColumnRenamed("node", "caller"), "caller", "left_semi").join(keys.withColumnRenamed("node", "callee"), "callee", "left_semi")
 
 
-def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Edges left when sources and sinks were taken off again and again: empty if and only if there is no cycle."""
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges left when sources and sinks were taken off again and again: empty if and only if there is no cycle.
+
+    A round takes one layer off at either end, so there are half as many rounds as the longest path off cycles has edges.
+    """
     left = cut(distinct_edges(edges))
     size = left.count()
-    for _ in range(max_rounds):
+    while True:
         callers, callees = left.select(F.col("caller").alias("n")).distinct(), left.select(F.col("callee").alias("n")).distinct()
         both = callers.join(callees, "n", "left_semi")
         kept = cut(induced(left, both.withColumnRenamed("n", "node")))
         now = kept.count()
         left = kept
         if now == size:
-            break
+            return left
         size = now
-    return left
 
 
 def missing_records(edges: DataFrame, start: DataFrame, present: DataFrame, described: DataFrame, depth: int) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veinstone.session import broadcast_if_small
+
 from veinstone.session import cut
 
 
@@ -70,7 +72,7 @@ def delete_where(table: DataFrame, condition: Column) -> DataFrame:
 def claim_first(table: DataFrame, eligible: Column, order: Sequence[Column], key: str, changes: dict[str, Column], n: int = 1) -> DataFrame:
     """The table after its first n eligible rows were changed, with the column claimed; one writer at a time."""
     first = table.filter(eligible).orderBy(*order).limit(n).select(F.col(key).alias("__k"))
-    marked = table.join(F.broadcast(first), table[key] == F.col("__k"), "left").withColumn("claimed", F.col("__k").isNotNull()).drop("__k")
+    marked = table.join(broadcast_if_small(first), table[key] == F.col("__k"), "left").withColumn("claimed", F.col("__k").isNotNull()).drop("__k")
     return marked.withColumns({c: F.when(F.col("claimed"), value).otherwise(F.col(c)) for c, value in changes.items()})
 
 

