@@ -143,10 +143,18 @@ NOTICE = re.compile(
   | \b{_SCRIPT}\b[^.]{{0,30}}\b(?:deaktiviert|erforderlich|benötigt|einschalten|aktivieren|désactivé|requis|nécessaire|desactivado|necesario|requerido)\b
   | \b(?:aktivieren|einschalten|erlauben|activer|activez|autoriser|autorisez|active|activar|habilite|habilitar|permita)\b[^.]{{0,25}}\b{_SCRIPT}\b
   | \bchecking\ your\ browser\b | \b(?:confirm|verify|prove|make\ sure)\ (?:that\ )?you\ are\ (?:not\ a\ robot|a?\ ?human)
-  | ^(?:http\ ?)?(?:error\ |status:?\ |code:?\ )?[45]\d\d\b[\ :–-]+(?:page\ |the\ )?(?:not\ found|forbidden|unauthori[sz]ed|bad\ (?:request|gateway)|internal\ server\ error|service\ unavailable|gateway\ time-?out|too\ many\ requests|gone|request\ timeout)
+  | \bno\ se\ ha\ (?:encontrado|podido\ encontrar)\ la\ página | \bpage\ (?:demandée\ )?(?:est\ )?introuvable
+    """,
+    re.X | re.I,
+)
+# A sentence without any of these holds nothing of NOTICE.
+_NOTICE_MARKS = ("script", "js", "browser", "you are", "no se ha", "introuvable")
+# How a sentence that is such a message begins.
+NOTICE_START = re.compile(
+    r"""
+    ^(?:http\ ?)?(?:error\ |status:?\ |code:?\ )?[45]\d\d\b[\ :–-]+(?:page\ |the\ )?(?:not\ found|forbidden|unauthori[sz]ed|bad\ (?:request|gateway)|internal\ server\ error|service\ unavailable|gateway\ time-?out|too\ many\ requests|gone|request\ timeout)
   | ^(?:error\ |fehler\ |erreur\ )[45]\d\d\b
-  | ^(?:the\ )?(?:page|file|document|resource)\ not\ found\b | ^(?:seite|dokument|datei)\ nicht\ gefunden | ^página\ no\ encontrada | \bno\ se\ ha\ (?:encontrado|podido\ encontrar)\ la\ página
-  | \bpage\ (?:demandée\ )?(?:est\ )?introuvable
+  | ^(?:the\ )?(?:page|file|document|resource)\ not\ found\b | ^(?:seite|dokument|datei)\ nicht\ gefunden | ^página\ no\ encontrada
   | ^access\ denied | ^zugriff\ verweigert | ^accès\ refusé | ^acceso\ denegado
   | ^(?:service|site|server|page)\ (?:temporarily\ )?unavailable | ^(?:bad\ )?gateway\ (?:error|time-?out) | ^bad\ gateway | ^internal\ server\ error | ^too\ many\ requests
   | ^(?:link|session)\ (?:has\ )?expired | ^your\ session\ (?:has\ )?(?:expired|timed\ out) | ^(?:this|the)\ link\ (?:is\ no\ longer\ valid|has\ expired)
@@ -204,19 +212,27 @@ def _spans(sentence: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, name, style) of what may stand in a slot, in order; kind is ``certain``, ``doubtful``, ``default`` or ``blank``."""
     found: list[tuple[int, int, str, str, str]] = []
     free = lambda m: all(m.end() <= f[0] or m.start() >= f[1] for f in found)
-    for kind, pattern in (("certain", CERTAIN), ("doubtful", DOUBTFUL)):
+    for kind, pattern in (("certain", CERTAIN), ("doubtful", DOUBTFUL)) if _ODD.search(sentence) else ():
         found += [(m.start(), m.end(), kind, _name(m), _style(m)) for m in pattern.finditer(sentence) if free(m)]
-    found += [(m.start(), m.end(), "default", "", "") for m in _DEFAULT.finditer(sentence) if free(m)]
+    if any(x in sentence for x in _DEFAULT_MARKS):
+        found += [(m.start(), m.end(), "default", "", "") for m in _DEFAULT.finditer(sentence) if free(m)]
     found += [(m.start(), m.end(), "blank", "", "") for m in _BLANK.finditer(sentence) if free(m)]
     return sorted(found)
 
 
+# Every expression of CERTAIN and DOUBTFUL starts so; and texts without any of these hold no default or blank.
+_ODD = re.compile(r"[{<$%@«\[&]|#\{|__|\*\*\*|\((?:enter|insert|fill)")
+_DEFAULT_MARKS = ("undefined", "null", "NaN", "N/A", "n/a", "TBD", "TBA", "XXX", "???", "YYYY", "MM/DD", "DD.MM")
+_BLANK_MARKS = ("  ", " .", " ,", " ;", "()", "( ")
+
+
 def slots(masked: str) -> list[tuple[str, str, str, str, str, int]]:
     """(left, right, kind, name, style, value) of each place that may be a slot; left and right are the words of its frame."""
     out: list[tuple[str, str, str, str, str, int]] = []
-    starts = [m.start() for r in (CERTAIN, DOUBTFUL, _DEFAULT) for m in r.finditer(masked)]
-    if any(x in masked for x in ("  ", " .", " ,", " ;", "(")):
-        starts += [m.start() for m in _BLANK.finditer(masked)]
+    starts = [m.start() for m in _ODD.finditer(masked)]
+    for marks, pattern in ((_DEFAULT_MARKS, _DEFAULT), (_BLANK_MARKS, _BLANK)):
+        if any(x in masked for x in marks):
+            starts += [m.start() for m in pattern.finditer(masked)]
     done = -1
     for at in sorted(starts):
         if at < done:
@@ -235,19 +251,40 @@ def slots(masked: str) -> list[tuple[str, str, str, str, str, int]]:
     return out
 
 
-def fillings(masked: str, lefts, rights: dict[str, list[str]]) -> set[tuple[str, str, int]]:
-    """(left, right, value) of what stands in frames: lefts is an automaton of their left words; the value is 0 where nothing stands between."""
-    text = _BLANK.sub(" \1 ", masked) if any(x in masked for x in ("  ", " .", " ,", " ;", "(")) else masked
-    text = f" {' '.join(text.lower().translate(_DIGITS).split())} "
+def _plain(text: str) -> str:
+    return f" {' '.join(text.lower().translate(_DIGITS).split())} "
+
+
+def anchor(left: str, right: str) -> tuple[str, bool]:
+    """The longer side of a frame as it stands in a plain text, and whether it is the left one."""
+    if len(left) >= len(right):
+        return f" {left} ", True
+    return (f" {right} " if right[0].isalnum() else f"{right} "), False
+
+
+def fillings(text: str, anchors, frames: dict[str, list[tuple[str, str, bool]]]) -> set[tuple[str, str, int]]:
+    """(left, right, value) of what stands in frames: anchors is an automaton of the keys of frames; the value is 0 where nothing stands between."""
     out: set[tuple[str, str, int]] = set()
-    for end, left in lefts.iter(text):
-        window = text[end + 1 : end + 1 + VALUE_CHARS + 2]
-        for right in rights[left]:
-            reach = window.find(right) if right else -1
-            value = window[:reach].strip() if reach >= 0 else ""
-            if reach == 0:
+    if next(anchors.iter(_plain(text)), None) is None:
+        return out
+    masked = mask(text.replace("\r\n", "\n").replace("\r", "\n"))
+    text = _plain(_BLANK.sub(" \1 ", masked) if any(x in masked for x in _BLANK_MARKS) else masked)
+    for end, key in anchors.iter(text):
+        after, before = text[end + 1 : end + VALUE_CHARS + 3], None
+        for left, right, is_left in frames[key]:
+            if is_left:
+                reach = 0 if after.startswith(right) else after.find(f" {right}" if right[0].isalnum() else right)
+                value = after[:reach].strip() if reach >= 0 else ""
+            else:
+                if before is None:
+                    start = end + 1 - len(key)
+                    before = text[max(0, start - VALUE_CHARS - len(left) - 3) : start] + " "
+                reach = before.rfind(f" {left} ")
+                value = before[reach + len(left) + 2 :].strip() if reach >= 0 else ""
+                reach = 0 if reach >= 0 and not value else reach
+            if reach == 0 and not value:
                 out.add((left, right, 0))
-            elif value and "\1" not in value and ". " not in value and not CERTAIN.search(value) and not DOUBTFUL.search(value):
+            elif 0 < len(value) <= VALUE_CHARS and "\1" not in value and ". " not in value and not CERTAIN.search(value) and not DOUBTFUL.search(value):
                 out.add((left, right, _hash(value) or 1))
     return out
 
@@ -310,7 +347,11 @@ def page_sentences(text: str) -> list[str]:
 
 
 def is_notice(sentence: str) -> bool:
-    return len(sentence) < 200 and NOTICE.search(sentence) is not None and _TALK.search(sentence) is None
+    if NOTICE_START.match(sentence) is None:
+        small = sentence.lower()
+        if not any(x in small for x in _NOTICE_MARKS) or NOTICE.search(sentence) is None:
+            return False
+    return _TALK.search(sentence) is None
 
 
 def examine(text: str) -> tuple[bool, bool, bool, list[int], list[int], list[tuple]]:
@@ -335,27 +376,28 @@ def _looked_up(texts: DataFrame, frames: DataFrame) -> DataFrame:
     parts = []
     for block in range(blocks):
         mine = frames if blocks == 1 else frames.filter(F.pmod(F.xxhash64("left"), F.lit(blocks)) == block)
-        rights: dict[str, list[str]] = {}
+        keyed: dict[str, list[tuple[str, str, bool]]] = {}
         for r in mine.toLocalIterator():  # about FRAME_BLOCK frames of a few words
-            rights.setdefault(f" {r.left} ", []).append(r.right)
+            key, is_left = anchor(r.left, r.right)
+            keyed.setdefault(key, []).append((r.left, r.right, is_left))
 
-        def run(batches: Iterator[pa.RecordBatch], rights: dict[str, list[str]] = rights) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], keyed: dict[str, list[tuple[str, str, bool]]] = keyed) -> Iterator[pa.RecordBatch]:
             import ahocorasick
 
-            lefts = ahocorasick.Automaton()
-            for left in rights:
-                lefts.add_word(left, left)
-            lefts.make_automaton()
+            anchors = ahocorasick.Automaton()
+            for key in keyed:
+                anchors.add_word(key, key)
+            anchors.make_automaton()
             for batch in batches:
                 rows: list[tuple[str, str, int]] = []
                 empty: dict[tuple[str, str], int] = {}
                 seen: set[tuple[str, str, int]] = set()
-                for value in batch.column(0).to_pylist() if rights else ():
-                    for left, right, held in fillings(mask(value.replace("\r\n", "\n").replace("\r", "\n")), lefts, rights):
+                for value in batch.column(0).to_pylist() if keyed else ():
+                    for left, right, held in fillings(value, anchors, keyed):
                         if held:
-                            seen.add((left.strip(), right, held))
+                            seen.add((left, right, held))
                         else:
-                            empty[left.strip(), right] = empty.get((left.strip(), right), 0) + 1
+                            empty[left, right] = empty.get((left, right), 0) + 1
                 rows = [(*s, 0) for s in seen] + [(*k, 0, n) for k, n in empty.items()]
                 columns = list(zip(*rows)) if rows else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["left", "right", "value", "n"])
