@@ -55,6 +55,32 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(f"(?iU){pattern}"), F.lit(False))
 
 
+def _sought(pattern: str) -> tuple[str, str]:
+    """(the longest text that every match holds, an equal pattern for a search): repeats at its ends need only one."""
+    at, run, texts = 0, "", []
+    while at < len(pattern) and pattern[at] not in "([|":
+        part = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        at += len(part)
+        plain = "" if len(part) == 2 and part[1].isalnum() or part in "+*?." else part[-1]
+        optional = pattern[at : at + 1] in ("*", "?")
+        if plain and not optional:
+            run += plain
+        if not plain or optional or pattern[at : at + 1] == "+":
+            texts.append(run)
+            run = ""
+    leaner = re.sub(r"(?<!\\)(\\[wds])\+$", r"\1", re.sub(r"^(\\[wds])\+", r"\1", pattern))
+    return max([*texts, run], key=len), leaner
+
+
+def _in_lower(lower: Column, pattern: str) -> Column:
+    """Whether a pattern without capital classes matches a text in lower case; the pattern is tried only where its text stands."""
+    if _LITERAL.fullmatch(pattern):
+        return F.coalesce(F.contains(lower, F.lit(re.sub(r"\\(.)", r"\1", pattern).lower())), F.lit(False))
+    text, leaner = _sought(pattern.lower())
+    found = lower.rlike(f"(?U){leaner}")
+    return F.coalesce(F.contains(lower, F.lit(text)) & found if text else found, F.lit(False))
+
+
 def bug_fix_score(message: Column) -> Column:
     """0..1: words, references to issues, a message that starts with fix, and the words bug or error."""
     lower = F.lower(message)
@@ -68,11 +94,12 @@ def bug_fix_score(message: Column) -> Column:
 def pattern_scores(added: Column, removed: Column | None = None) -> dict[str, Column]:
     """Score per type: 1 for each rule in the added text, and 0.5 more if the removed text lacks it."""
     out = {}
+    added, removed = F.lower(added), None if removed is None else F.lower(removed)
     for kind, rules in PATTERN_RULES.items():
         score = F.lit(0.0)
         for rule in rules:
-            was = _matches(removed, rule) if removed is not None else F.lit(False)
-            score = score + F.when(_matches(added, rule), F.when(was, 1.0).otherwise(1.5)).otherwise(0.0)
+            was = _in_lower(removed, rule) if removed is not None else F.lit(False)
+            score = score + F.when(_in_lower(added, rule), F.when(was, 1.0).otherwise(1.5)).otherwise(0.0)
         out[kind] = score
     return out
 
