@@ -69,12 +69,18 @@ def test_weights():
     e = mixing.exponent_for_entropy(shares, 0.8)
     assert mixing.entropy(mixing.tempered(shares, e)) == pytest.approx(0.8, abs=1e-6)
     targets = {s: mixing.Target(s, w, 2) for s, w in (("a", 0.2), ("b", 0.3), ("c", 0.5))}
-    free, exponent = mixing.budgets({"a": 900, "b": 90, "c": 10}, targets)
-    assert exponent == 1 and free["c"] == pytest.approx(20) and free["b"] == pytest.approx(12)
-    everything, exponent = mixing.budgets({"a": 900, "b": 90, "c": 10}, targets, total=10**6)
-    assert exponent == pytest.approx(0, abs=1e-6) and everything == {"a": 1800, "b": 180, "c": 20}
-    forced, exponent = mixing.budgets({"a": 900, "b": 90, "c": 10}, targets, total=400)
-    assert 0 < exponent < 1 and sum(forced.values()) == pytest.approx(400, rel=1e-3) and forced["c"] <= 20 + 1e-6
+    sizes = {"a": 900, "b": 90, "c": 10}
+    free, exponents = mixing.budgets(sizes, targets)
+    assert set(exponents.values()) == {1.0} and free["c"] == pytest.approx(20) and free["b"] == pytest.approx(12)
+    everything, exponents = mixing.budgets(sizes, targets, total=10**6)
+    assert everything == {"a": 1800, "b": 180, "c": 20} and exponents["a"] == pytest.approx(0, abs=1e-6)
+    forced, exponents = mixing.budgets(sizes, targets, total=400)
+    assert 0 < exponents["c"] < 1 and sum(forced.values()) == pytest.approx(400, rel=1e-3) and forced["c"] == 20
+    # c stops at its limit, b at its own, a takes what is left; with less, a and b keep the proportion of their targets
+    assert forced["b"] == pytest.approx(180) and forced["a"] == pytest.approx(200)
+    some, exponents = mixing.budgets(sizes, targets, total=120)
+    assert some["c"] == 20 and exponents["a"] == exponents["b"] == 1 and some["b"] / some["a"] == pytest.approx(1.5) and sum(some.values()) == pytest.approx(120)
+    assert mixing.budgets({}, targets, total=5) == ({}, {}) and mixing.budgets({}, targets) == ({}, {})
 
 
 @pytest.mark.parametrize("blocks", [4096, 3])
@@ -97,7 +103,7 @@ def test_mix(spark, blocks):
     assert max(used.values()) <= 2
     assert mixing.mix(items.limit(0), targets).uses.count() == 0
     large = mixing.mix(items, targets, blocks=blocks)
-    assert 0 < large.exponent < 1 and {r.source: r.most_uses for r in large.shares.collect()} == {"big": 1, "tiny_one": 2, "absent": 0}
+    assert large.exponents["tiny_one"] < 1 and {r.source: r.most_uses for r in large.shares.collect()} == {"big": 1, "tiny_one": 2, "absent": 0}
 
 
 def test_tokens(spark):

@@ -3,8 +3,9 @@
 Weights lie on the path from the sources' own token shares (exponent 0) to the targets (exponent 1): each
 source's own share is raised to one minus the exponent and multiplied by its target raised to the exponent.
 The total is a budget, by default as many tokens as the corpus has, and the exponent is bisected to the
-largest one at which no source must repeat a text more often than it may; the shares reached are reported
-beside the targets. ``most`` asks instead for the largest total at which the targets themselves are met;
+largest one at which no source must repeat a text more often than it may. The source that stops it there is
+given all it may have, and for the others the exponent is bisected anew, until they meet their targets or all
+are at their limits; the shares reached are reported beside the targets, with each source's exponent. ``most`` asks instead for the largest total at which the targets themselves are met;
 it too is bisected, by the same test. With an entropy to meet, ``exponent_for_entropy`` finds the plain
 temperature. The weights become budgets, and each budget is realised as whole passes over the source and a
 part of one more pass in the order of a hash permutation: whole blocks of it, and an exact prefix in the one
@@ -74,22 +75,32 @@ def _bisect(holds, low: float, high: float, steps: int) -> float:
     return low
 
 
-def budgets(sizes: dict[str, int], targets: dict[str, Target], total: int | None = None, steps: int = 60) -> tuple[dict[str, float], float]:
-    """(tokens of each source, exponent) for a total; None for the largest total that meets the targets.
+def budgets(sizes: dict[str, int], targets: dict[str, Target], total: int | None = None, steps: int = 60) -> tuple[dict[str, float], dict[str, float]]:
+    """(tokens, exponent) of each source for a total; None for the largest total that meets the targets.
 
-    A total beyond all allowed repetitions together gives every source at its limit with the exponent 0.
+    A total beyond all allowed repetitions together gives every source at its limit.
     """
-    usable = {s: n for s, n in sizes.items() if s in targets and n > 0 and targets[s].weight > 0 and targets[s].max_repeats > 0}
-    if not usable:
-        return {}, 1.0
-    most = {s: n * targets[s].max_repeats for s, n in usable.items()}
+    left = {s: n for s, n in sizes.items() if s in targets and n > 0 and targets[s].weight > 0 and targets[s].max_repeats > 0}
+    most = {s: n * targets[s].max_repeats for s, n in left.items()}
     fits = lambda weights, tokens: all(w * tokens <= most[s] * (1 + 1e-12) for s, w in weights.items())
-    wanted = path_weights(usable, targets, 1.0)
-    if total is None:
+    if total is None and left:
+        wanted = path_weights(left, targets, 1.0)
         reach = _bisect(lambda t: fits(wanted, t), 0.0, float(sum(most.values())), steps + 40)
-        return {s: w * reach for s, w in wanted.items()}, 1.0
-    exponent = 1.0 if fits(wanted, total) else _bisect(lambda e: fits(path_weights(usable, targets, e), total), 0.0, 1.0, steps)
-    return {s: min(w * total, most[s]) for s, w in path_weights(usable, targets, exponent).items()}, exponent
+        return {s: w * reach for s, w in wanted.items()}, dict.fromkeys(left, 1.0)
+    plan: dict[str, float] = {}
+    exponents: dict[str, float] = {}
+    rest = float(total or 0)
+    while left:
+        exponent = 1.0 if fits(path_weights(left, targets, 1.0), rest) else _bisect(lambda e: fits(path_weights(left, targets, e), rest), 0.0, 1.0, steps)
+        weights = path_weights(left, targets, exponent)
+        # those that stop the exponent: at their limit, or beyond it where even their own shares are too much
+        nearest = max(weights[s] * rest / most[s] for s in left)
+        stopped = [s for s in left if exponent == 1.0 or weights[s] * rest >= most[s] * (1 - 1e-9) or weights[s] * rest / most[s] == nearest]
+        for s in stopped:
+            plan[s], exponents[s] = min(weights[s] * rest if exponent == 1.0 else most[s], most[s]), exponent
+        rest = max(0.0, rest - sum(plan[s] for s in stopped)) if exponent < 1.0 else 0.0
+        left = {s: n for s, n in left.items() if s not in plan}
+    return plan, exponents
 
 
 def source_name(c: Column | str) -> Column:
@@ -100,11 +111,11 @@ def source_name(c: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class Mixture:
-    """uses: item_id, source, n_tokens, n_uses. shares: source, target_weight, reached_share, tokens, most_uses, max_repeats."""
+    """uses: item_id, source, n_tokens, n_uses. shares: source, target_weight, reached_share, tokens, most_uses, max_repeats, exponent (null without text). exponents: by source."""
 
     uses: DataFrame
     shares: DataFrame
-    exponent: float
+    exponents: dict[str, float]
 
 
 def mix(items: DataFrame, targets: DataFrame, total: int | str = "corpus", seed: int = 0, blocks: int = BLOCKS) -> Mixture:
@@ -132,7 +143,7 @@ def mix(items: DataFrame, targets: DataFrame, total: int | str = "corpus", seed:
     for r in per_block:
         sizes[r.source] = sizes.get(r.source, 0) + r.n
         by_source.setdefault(r.source, []).append((r.block, r.n))
-    plan, exponent = budgets(sizes, wanted, sum(sizes.values()) if total == "corpus" else None if total == "most" else total)
+    plan, exponents = budgets(sizes, wanted, sum(sizes.values()) if total == "corpus" else None if total == "most" else total)
     cuts = []  # source, whole passes, blocks before the last one, its number, tokens left for it
     for source, budget in plan.items():
         passes = min(int(budget // sizes[source]), wanted[source].max_repeats)
@@ -156,10 +167,10 @@ def mix(items: DataFrame, targets: DataFrame, total: int | str = "corpus", seed:
     edge = edge.withColumn("more", nearer.cast("int")).drop("sum")
     uses = whole.unionByName(edge).withColumn("n_uses", F.col("passes") + F.col("more")).filter("n_uses > 0").select("item_id", "source", "n_tokens", "n_uses")
     reached = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("tokens"), F.max("n_uses").alias("most_uses"))
-    all_targets = spark.createDataFrame([(t.source, t.weight, t.max_repeats) for t in wanted.values()], "source string, target_weight double, max_repeats int")
+    all_targets = spark.createDataFrame([(t.source, t.weight, t.max_repeats, None if t.source not in exponents else round(exponents[t.source], 6)) for t in wanted.values()], "source string, target_weight double, max_repeats int, exponent double")
     report = all_targets.join(reached, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     grand = Window.partitionBy()
     shares = report.select(
-        "source", "target_weight", (F.col("tokens") / F.nullif(F.sum("tokens").over(grand), F.lit(0))).alias("reached_share"), "tokens", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats"
+        "source", "target_weight", (F.col("tokens") / F.nullif(F.sum("tokens").over(grand), F.lit(0))).alias("reached_share"), "tokens", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats", "exponent"
     )
-    return Mixture(uses, shares, exponent)
+    return Mixture(uses, shares, exponents)

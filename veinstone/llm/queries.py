@@ -71,9 +71,8 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and reached share of each source in it, and the exponent that the repetition limits allow."""
-    mixture = _mixture(spark, d)
-    return mixture.shares.withColumn("exponent", F.lit(round(mixture.exponent, 6)))
+    """Target and reached share of each source in it, and the exponent that the repetition limits allow it."""
+    return _mixture(spark, d).shares
 
 
 def p8_exact_mix(spark: SparkSession, d: str) -> DataFrame:
