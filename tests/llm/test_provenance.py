@@ -125,3 +125,27 @@ def test_copies_in_two_repositories_and_odd_rows(spark):
     shared = {(f, "shared") for f in ("one/a.py", "two/b.py", "three/part.py", "four/renamed.py")}
     assert {x for x in got if x[0] != "one/long.py" and x[1] != "generated"} == shared | {("one/vendor/e.py", "path")}
     assert file_signs(df.limit(0)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(36, 60), st.integers(2, 40))
+def test_runs_are_shared_whatever_repeats_beside_them(seed, size, names):
+    rng = random.Random(seed)
+    common = [f"w{rng.randrange(names)}" for _ in range(size)]
+    one = [*rng.choices(common, k=12), "a", *common, "x", *[common[-1], "x"] * 9]  # its last token makes a pair with x more often
+    two = [*rng.choices(common, k=12), "b", *common, "y", *rng.choices(common, k=12)]
+    in_two = {tuple(two[i : i + 40]) for i in range(len(two) - 39)}
+    held = {k for i in range(len(one) - 39) if tuple(one[i : i + 40]) in in_two for k in range(i, i + 40)}
+    assert shared_tokens(one, two) == len(held) and bool(held) == (size >= 40)
+    assert not held or set(fingerprints(one)) & set(fingerprints(two))
+
+
+def test_partners_in_third_repositories_arent_hidden_by_others_with_the_same_fingerprint(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(60)]
+    text = lambda side, some: " ".join([f"{side}first", *some, f"{side}last"])
+    # the first and the last repository have 35 of the tokens, which is no copy; of those in between two have 40 or more
+    rows = [(f"{repo}/x.py", text(repo, words[10:45])) for repo in ("aa", "ab", "zy", "zz")]
+    rows += [("mm/x.py", text("mm", words)), ("nn/x.py", text("nn", words[8:48])), ("oo/x.py", text("oo", words[9:48]))]
+    df = spark.createDataFrame(rows, "file_path string, body string")
+    assert {r.file_path for r in file_signs(df).collect() if r.sign == "shared"} == {"mm/x.py", "nn/x.py"}

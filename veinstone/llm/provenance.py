@@ -3,11 +3,12 @@
 Each body becomes tokens without comments; a Re-Pair grammar is inferred over them with names freed of
 their digits, numbers, strings and one- or two-letter names as classes. Rules with words that are used again
 and again over much of the body mean generated code; terminals of short names alone mean minified code; a long
-run of literals whose own grammar saves hardly anything is data saved as code. Rules shared across
-repositories (first folder of the path) mean copies: fingerprints of token windows with the names as written,
-chosen by their content (winnowing), lead to the bodies of two repositories that may share code, and a grammar
-over both together shows the rules that stand in each. Notices in comments and the names of folders and files
-are further signs of the same table. One sign in any row is enough for its file.
+run of literals whose own grammar saves hardly anything is data saved as code. A run of SHARED_TOKENS tokens,
+with the names as written, that stands in two repositories (first folder of the path) means a copy, as it is a
+rule that both can use, whether or not Re-Pair would cut it elsewhere: fingerprints chosen by their content
+(winnowing) tell which runs may be shared, and the repositories of these are counted over all rows. Notices in
+comments and the names of folders and files are further signs of the same table. One sign in any row is enough
+for its file.
 
 Grammars are inferred only where a window of RULE_LENGTH tokens occurs RULE_USES times, without which no rule
 can be a sign. Bodies longer than a block are cut where their content says, and all blocks count together.
@@ -40,7 +41,7 @@ RULE_USES, RULE_LENGTH, RULE_SHARE = 6, 8, 0.2
 SHORT_SHARE, SHORT_TOKENS = 0.62, 20
 #: Characters of a run of literals, its share of the code, and bits of its grammar per bit of its alphabet that mean data.
 RUN_CHARS, RUN_SHARE, RUN_BITS = 180, 0.5, 0.5
-#: Tokens of a rule in two repositories that shows copying.
+#: Tokens of a run in two repositories that shows copying.
 SHARED_TOKENS = 40
 #: Tokens of a fingerprint and windows of which the least is kept: every common run of GRAM + WINDOW - 1 = SHARED_TOKENS tokens has one in common.
 GRAM, WINDOW = 30, 11
@@ -246,17 +247,34 @@ def _grams(numbers: list[int], length: int) -> Iterator[int]:
     return map(hash, zip(*[numbers[i:] for i in range(length)]))
 
 
-def fingerprints(tokens: list[str]) -> list[int]:
-    """The least hash of every WINDOW windows of GRAM tokens, each once."""
-    if len(tokens) < GRAM + WINDOW - 1:
-        return []
-    least = np.fromiter(_grams([_token_hash(t) for t in tokens], GRAM), np.int64)
+def _spans(values: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every window of so many values, from two narrower windows that overlap."""
     reach = 1
-    while reach < WINDOW:  # the least of ever wider windows, from two that overlap
+    while reach < length:
+        step = min(reach, length - reach)
+        values = values[:-step] * np.uint64(0x9E3779B97F4A7C15) + values[step:]
+        values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        values ^= values >> np.uint64(29)
+        reach += step
+    return values
+
+
+def runs_of(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, hash) of every run of SHARED_TOKENS tokens; the fingerprint is the least hash of its WINDOW windows of GRAM."""
+    if len(tokens) < SHARED_TOKENS:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    values = np.fromiter(map(_token_hash, tokens), np.int64, len(tokens)).view(np.uint64)
+    least, reach = _spans(values, GRAM), 1
+    while reach < WINDOW:
         step = min(reach, WINDOW - reach)
-        least = np.minimum(least[: len(least) - step], least[step:])
+        least = np.minimum(least[:-step], least[step:])
         reach += step
-    return np.unique(least).tolist()
+    return least.view(np.int64), _spans(values, SHARED_TOKENS).view(np.int64)
+
+
+def fingerprints(tokens: list[str]) -> list[int]:
+    """The fingerprints of all runs, each once."""
+    return np.unique(runs_of(tokens)[0]).tolist()
 
 
 def _rule_tokens(block: list[str]) -> int:
@@ -280,36 +298,13 @@ def _rule_tokens(block: list[str]) -> int:
 
 
 def shared_tokens(one: list[str], other: list[str]) -> int:
-    """Tokens of the first text that stand in rules of at least SHARED_TOKENS tokens which both use, by a grammar over both together.
-
-    A common run is one rule but for the ends, where a symbol may reach beyond it in one of the texts.
-    """
-    names: dict[str, int] = {}
-    between = "\0"  # no token; stands once, so no rule spans both texts
-    sequence = [names.setdefault(t, len(names)) for t in [*one, between, *other]]
-    rules, rest, first = repair(sequence)
-    _, length = rule_uses(rules, rest, first)
-    middle = rest.index(names[between])
-
-    def parts(symbols: list[int]) -> set[int]:
-        """The symbols and all rules in them."""
-        seen, todo = set(), list(symbols)
-        while todo:
-            s = todo.pop()
-            if s not in seen:
-                seen.add(s)
-                if s >= first:
-                    todo.extend(rules[s - first])
-        return seen
-
-    there = parts(rest[middle + 1 :])
-    total, todo = 0, rest[:middle]
-    while todo:
-        s = todo.pop()
-        if s in there and length[s] >= SHARED_TOKENS:
-            total += length[s]
-        elif s >= first:
-            todo.extend(rules[s - first])
+    """Tokens of the first text that stand in runs of at least SHARED_TOKENS tokens which the other has too."""
+    there = set(zip(*[other[k:] for k in range(SHARED_TOKENS)]))
+    total = end = 0
+    for i, run in enumerate(zip(*[one[k:] for k in range(SHARED_TOKENS)])):
+        if run in there:
+            total += i + SHARED_TOKENS - max(end, i)
+            end = i + SHARED_TOKENS
     return total
 
 
@@ -384,30 +379,32 @@ def file_signs(df: DataFrame, file_path: str = "file_path", body: str = "body",
     return single.unionByName(_copied(source, seen).select("file_path", F.lit("shared").alias("sign"))).distinct()
 
 
+def _in_two(df: DataFrame, key: str) -> DataFrame:
+    """Keys that stand in two repositories; combined in the tasks, so a hot one stays small."""
+    return df.groupBy(key).agg(F.min("repo").alias("low"), F.max("repo").alias("high")).filter("low <> high").select(key)
+
+
 def _copied(source: DataFrame, seen: DataFrame) -> DataFrame:
-    """file_path of the rows that share rules with a row of another repository."""
+    """file_path of the rows that have a run of SHARED_TOKENS tokens in common with any row of another repository."""
     prints = seen.select("repo", "row", F.explode("prints").alias("print"))
-    # of each fingerprint one row in each of two repositories; combined in the tasks, so a hot one stays small
-    ends = prints.groupBy("print").agg(F.min(F.struct("repo", "row")).alias("low"), F.max(F.struct("repo", "row")).alias("high")).filter("low.repo <> high.repo")
-    partner = F.when(F.col("low.repo") != F.col("repo"), F.col("low.row")).otherwise(F.col("high.row"))
-    pairs = join_spread(prints, ends, "print", "row").select("row", partner.alias("partner")).distinct()
-    bodies = source.select("row", "file_path", "body").dropDuplicates(["row"])
-    wanted = cut(pairs)
-    ids = wanted.select("row").union(wanted.select("partner")).distinct()
-    held = cut(bodies.join(ids, "row", "left_semi"))
-    other = held.select(F.col("row").alias("partner"), F.col("file_path").alias("partner_path"), F.col("body").alias("partner_body"))
-    both = join_spread(wanted, other, "partner", "row").join(held, "row").select("file_path", "body", "partner_path", "partner_body")
+    wanted = cut(join_spread(prints, _in_two(prints, "print"), "print", "row").groupBy("row").agg(F.collect_set("print").alias("prints")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = pa.list_(pa.int64())
         for batch in batches:
-            found = []
-            for path, code, partner_path, partner_code in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                one, two = ([t for _, t in tokenise(c, _C_LIKE.search(p) is not None)[0]] for p, c in ((path, code), (partner_path, partner_code)))
-                if path not in found and shared_tokens(one, two):
-                    found.append(path)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["file_path"])
-
-    return both.mapInArrow(run, "file_path string")
+            rows = []
+            for path, code, hot in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                least, whole = runs_of([t for _, t in tokenise(code, _C_LIKE.search(path) is not None)[0]])
+                may = np.isin(least, np.array(hot, np.int64))
+                whole, at = np.unique(whole[may], return_index=True)
+                rows.append((path, path.split("/", 1)[0], least[may][at], whole))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.string(), numbers, numbers))]
+            yield pa.RecordBatch.from_arrays(columns, names=["file_path", "repo", "print", "whole"])
+
+    # a run is told by both numbers, so two that differ would have to agree in their fingerprint as well
+    found = cut(source.join(wanted, "row").select("file_path", "body", "prints").mapInArrow(run, "file_path string, repo string, print array<long>, whole array<long>"))
+    runs = found.select("file_path", "repo", F.explode(F.arrays_zip("print", "whole")).alias("run"))
+    return join_spread(runs, _in_two(runs, "run"), "run", "file_path").select("file_path").distinct()
 
 
 def hand_written(df: DataFrame, file_path: str = "file_path", body: str = "body", own: tuple[str, ...] = ()) -> DataFrame:
