@@ -350,7 +350,7 @@ def _expand(rules: list[tuple[int, int]], first: int, symbol: int, spelled: list
     return out
 
 
-_EVIDENCE = "file_path string, repo string, row long, signs array<string>, prints array<long>"
+_EVIDENCE = "file_path string, repo string, row long, signs array<string>, prints array<long>, whole binary"
 
 
 def file_signs(df: DataFrame, file_path: str = "file_path", body: str = "body", own: tuple[str, ...] = ()) -> DataFrame:
@@ -360,23 +360,25 @@ def file_signs(df: DataFrame, file_path: str = "file_path", body: str = "body",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
         names = [x.split()[0] for x in _EVIDENCE.split(", ")]
         for batch in batches:
             rows = []
             for path, code, row in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                signs, prints = examine(code, _C_LIKE.search(path) is not None, own) if code else (set(), [])
+                c_like = _C_LIKE.search(path) is not None
+                signs, prints = examine(code, c_like, own) if code else (set(), [])
                 if PATH_SIGN.search(path):
                     signs.add("path")
                 if signs or prints:
-                    rows.append((path, path.split("/", 1)[0], row, sorted(signs), prints))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=names)
+                    rows.append((path, path.split("/", 1)[0], row, sorted(signs), prints, hashlib.blake2b(f"{c_like}{code}".encode("utf-8", "surrogatepass"), digest_size=16).digest() if prints else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=names)
 
     source = df.select(F.col(file_path).alias("file_path"), F.col(body).alias("body")).filter(F.col("file_path").isNotNull())
     source = source.withColumn("row", F.xxhash64("file_path", "body"))
     seen = cut(source.select("file_path", "body", "row").mapInArrow(run, _EVIDENCE))
     single = seen.select("file_path", F.explode("signs").alias("sign"))
-    return single.unionByName(_copied(source, seen).select("file_path", F.lit("shared").alias("sign"))).distinct()
+    shared = seen.select("row", "file_path").join(_copied(source, seen), "row").select("file_path", F.lit("shared").alias("sign"))
+    return single.unionByName(shared).distinct()
 
 
 def _in_two(df: DataFrame, key: str) -> DataFrame:
@@ -385,26 +387,37 @@ def _in_two(df: DataFrame, key: str) -> DataFrame:
 
 
 def _copied(source: DataFrame, seen: DataFrame) -> DataFrame:
-    """file_path of the rows that have a run of SHARED_TOKENS tokens in common with any row of another repository."""
-    prints = seen.select("repo", "row", F.explode("prints").alias("print"))
-    wanted = cut(join_spread(prints, _in_two(prints, "print"), "print", "row").groupBy("row").agg(F.collect_set("print").alias("prints")))
+    """row of the bodies that have a run of SHARED_TOKENS tokens in common with any of another repository.
+
+    Bodies that stand whole in two repositories are told by that; of all bodies only those runs are counted that may be shared by the others.
+    """
+    held = seen.filter(F.size("prints") > 0)
+    whole = held.select("repo", "row", "whole")
+    copies = cut(join_spread(whole, _in_two(whole, "whole"), "whole", "row").select("row").distinct())
+    prints = held.select("repo", "row", F.explode("prints").alias("print"))
+    others = prints.join(copies, "row", "left_anti").select("print").distinct()
+    needed = cut(_in_two(prints, "print").join(others, "print", "left_semi"))
+    if needed.isEmpty():
+        return copies
+    wanted = cut(join_spread(prints, needed, "print", "row").groupBy("row").agg(F.collect_set("print").alias("prints")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = pa.list_(pa.int64())
         for batch in batches:
-            rows = []
-            for path, code, hot in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                least, whole = runs_of([t for _, t in tokenise(code, _C_LIKE.search(path) is not None)[0]])
-                may = np.isin(least, np.array(hot, np.int64))
-                whole, at = np.unique(whole[may], return_index=True)
-                rows.append((path, path.split("/", 1)[0], least[may][at], whole))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.string(), numbers, numbers))]
-            yield pa.RecordBatch.from_arrays(columns, names=["file_path", "repo", "print", "whole"])
+            found = []
+            for row, path, code, some in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                least, runs = runs_of([t for _, t in tokenise(code, _C_LIKE.search(path) is not None)[0]])
+                may = np.isin(least, np.array(some, np.int64))
+                runs, at = np.unique(runs[may], return_index=True)
+                found.append((row, path.split("/", 1)[0], least[may][at], runs))
+            columns = [pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 4, (pa.int64(), pa.string(), numbers, numbers))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "repo", "print", "run"])
 
     # a run is told by both numbers, so two that differ would have to agree in their fingerprint as well
-    found = cut(source.join(wanted, "row").select("file_path", "body", "prints").mapInArrow(run, "file_path string, repo string, print array<long>, whole array<long>"))
-    runs = found.select("file_path", "repo", F.explode(F.arrays_zip("print", "whole")).alias("run"))
-    return join_spread(runs, _in_two(runs, "run"), "run", "file_path").select("file_path").distinct()
+    found = cut(source.join(wanted, "row").select("row", "file_path", "body", "prints").mapInArrow(run, "row long, repo string, print array<long>, run array<long>"))
+    runs = found.select("repo", "row", F.explode(F.arrays_zip("print", "run")).alias("run"))
+    shared = join_spread(runs.join(copies, "row", "left_anti").select("row", "run"), _in_two(runs, "run"), "run", "row")
+    return copies.union(shared.select("row")).distinct()
 
 
 def hand_written(df: DataFrame, file_path: str = "file_path", body: str = "body", own: tuple[str, ...] = ()) -> DataFrame:
