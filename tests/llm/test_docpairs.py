@@ -141,3 +141,31 @@ def test_frame(spark):
     got = sorted((r.function_id or "", r.member_name) for r in doc_pairs(df).collect())
     assert got == [("", "g"), ("a::f", "f"), ("e::f", "f"), ("long::f", "f"), ("long::f", "g")]
     assert doc_pairs(df.limit(0)).count() == 0
+
+
+def test_further_forms_of_definitions():
+    doc = "Newest first, ties by weight."
+    script = {
+        f"/** {doc} */\nRow.prototype.sortRows = function (a) {{\n return a;\n}};\n": "sortRows", f"/** {doc} */\nexports.sortRows = async (a) => {{\n return a;\n}};\n": "sortRows",
+        f"/** {doc} */\nmodule.exports = function sortRows(a) {{\n return a;\n}};\n": "sortRows", f"/** {doc} */\nconst sortRows = <T,>(a: T) => {{ return a; }};\n": "sortRows",
+    }
+    c = {
+        f"class A {{\n public:\n  /// {doc}\n  explicit A(int n) : n_(n) {{ x(); }}\n}};\n": "A", f"class A {{\n  /// {doc}\n  ~A() {{ x(); }}\n}};\n": "~A", f"class A {{\n public:\n  /// {doc}\n  int f(int n) {{ return n; }}\n}};\n": "f",
+        f"/// {doc}\nbool operator==(const A& a, const A& b) {{ return true; }}\n": "operator==", f"struct A {{\n  /// {doc}\n  int operator()(int a) const {{ return a; }}\n}};\n": "operator()",
+        f"/// {doc}\ndecltype(auto) f(int a) {{ return a; }}\n": "f", f"/// {doc}\nint __attribute__((noinline)) f(int a) {{ return a; }}\n": "f", f'/// {doc}\nextern "C" int f(int a) {{ return a; }}\n': "f",
+        f"/// {doc}\ntemplate <>\nint f<int>(int a) {{ return a; }}\n": "f", f"/// {doc}\nstd::function<int(int)> f = [](int a) {{ return a; }};\n": "f", f"class A {{\n  Q_OBJECT\n  /// {doc}\n  int f(int n) {{ return n; }}\n}};\n": "f",
+        f"/// {doc}\n{' '.join(f'MACRO{i}' for i in range(600))} int f(int n) {{ return n; }}\n": "f",
+    }
+    python = {f"def f(a):\n    (\n     '{doc}'\n    )\n    return a\n": "f", f"# {doc}\n@a.b(\n  1,\n\n  2,\n)\ndef f(x): pass\n": "f"}
+    for forms, path in ((script, "a.ts"), (c, "a.hpp"), (python, "a.py")):
+        for body, name in forms.items():
+            assert names(body, path) == [name], body
+    for body in (f"/** {doc} */\nrow.total = size(a);\n", f"/** {doc} */\nmodule.exports = {{ a }};\n"):
+        assert names(body, "a.js") == []
+    assert names(f"/// {doc}\nint x = f(a) + g(b);\n", "a.cpp") == [] and names(f"def f(a):\n    ('{doc}', a)\n", "a.py") == [] and names(f"def f(a):\n    ('{doc}').strip()\n", "a.py") == []
+
+
+def test_code_comes_with_the_pair(spark):
+    body = "# Head.\r\n\r\ndef f(\r\n  a,\r\n):\r\n  'Sorts by age.'\r\n  return a\r\n\r\nx = 1\r\n"
+    df = spark.createDataFrame([("a::f", body, "a.py", "python")], "function_id string, body string, file_path string, language string")
+    assert doc_pairs(df).first().code == "def f(\n  a,\n):\n  'Sorts by age.'\n  return a"

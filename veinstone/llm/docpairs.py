@@ -140,6 +140,12 @@ def described(doc: str, name: str) -> str:
     return "\n".join(kept)
 
 
+def member_code(body: str, member: Member) -> str:
+    """The lines of a member, from its signature to its end; line ends of any kind count as one."""
+    lines = body.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    return "\n".join(lines[member.line - 1 : max(member.end_line, member.line + member.signature.count("\n"))])
+
+
 def documented_members(body: str | None, file_path: str | None, language: str | None) -> list[tuple[Member, str]]:
     """(member, description) of every member of a body whose documentation isn't trivial."""
     grammar = grammar_of(file_path, language)
@@ -149,22 +155,22 @@ def documented_members(body: str | None, file_path: str | None, language: str |
     return [(m, text) for m, text in pairs if text]
 
 
-_PAIRS = "function_id string, member_name string, signature string, line int, doc string, description string"
+_PAIRS = "function_id string, member_name string, signature string, line int, doc string, description string, code string"
 
 
 def doc_pairs(df: DataFrame, function_id: str = "function_id", body: str = "body", file_path: str = "file_path", language: str = "language") -> DataFrame:
-    """One row per documented member: function_id, member_name, its signature, line, documentation and description."""
+    """One row per documented member: function_id, member_name, its signature, line, documentation, description and code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _PAIRS.split(", ")]
-        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             rows = [
-                (key, m.name, m.signature, m.line, m.doc, text)
+                (key, m.name, m.signature, m.line, m.doc, text, member_code(code, m))
                 for key, code, path, lang in zip(*(batch.column(i).to_pylist() for i in range(4)))
                 for m, text in documented_members(code, path, lang)
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)], names=names)
 
     source = df.select(F.col(function_id).alias("function_id"), *[F.col(c) for c in (body, file_path, language)]).filter(F.col(body).isNotNull())
     return source.mapInArrow(run, _PAIRS)

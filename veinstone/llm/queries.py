@@ -36,8 +36,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs themselves: signature and description of each documented member."""
-    return docpairs.doc_pairs(_current_code(spark, d)).select("function_id", "member_name", "signature", "description")
+    """The pairs themselves: signature, code and description of each documented member."""
+    return docpairs.doc_pairs(_current_code(spark, d)).select("function_id", "member_name", "signature", "description", "code")
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
